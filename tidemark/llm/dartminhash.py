@@ -293,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(id, class_id) for each row of docs: ``class_id`` is the least id among documents linked by near or equal texts."""
     keyed = docs.select(node().alias("id"), text_of().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    groups = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    groups = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")))  # cut, so that the join below can be split where copies abound
     members = cut(keyed.select("id", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "rep"))
     groups_of_rep = groups.withColumnRenamed("rep", "id")
     bands = cut(keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>").join(groups_of_rep, ["k1", "k2", "id"]).select(F.explode("bands").alias("key"), "id"))
