@@ -1 +1 @@
-
+"""Durations, clocks and column helpers."""
