@@ -69,7 +69,10 @@ def flat_map(elements: Column | str | Callable[[dict], list], name: str, element
 
 
 def tap(effect: Callable[[dict], object] | None = None, *, observe: Mapping[str, Column] | None = None, name: str = "tap", on_error: str = "fail_job", retries: int = 0) -> Operator:
-    """Records pass unchanged.  ``observe`` collects metrics in the plan; a callable is run on each record, and with ``skip`` a failing one diverts the record."""
+    """Records pass unchanged.  ``observe`` collects metrics in the plan; a callable is run on each record, and with ``skip`` a failing one diverts the record.
+
+    As with any task, effects repeat when Spark computes a record again.
+    """
     if observe:
         return lambda flow: flow.with_df(flow.df.observe(name, *(c.alias(k) for k, c in observe.items())))
 

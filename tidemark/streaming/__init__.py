@@ -1 +1,6 @@
+"""The operators on streams, and jobs that run them."""
 
+from .job import Job, Subscription
+from .processors import folded_stream, scan_stream, throttle_stream
+
+__all__ = ["Job", "Subscription", "folded_stream", "scan_stream", "throttle_stream"]
