@@ -37,8 +37,8 @@ PAIR_MIN = 2
 BITS_PER_ENTRY = 10
 PROBES = 5
 SLICE_BYTES = 64 << 20
-BUCKET_BYTES = 8 << 20
-PENDING = 1 << 21
+BUCKET_BYTES = 4 << 20
+PENDING = 1 << 20
 WEIGHT = 0.35  # of the pair estimate against the word estimate
 END = np.uint64(0xE7037ED1A0B428DB)
 

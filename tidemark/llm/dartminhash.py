@@ -277,10 +277,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = shape(edges)
     while before[0]:
         n = neighbours(edges)
-        least = n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # cut, so that the joins below can be split at nodes with very many edges
+        least = cut(n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = n.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = cut(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = cut(small.where("a != b").distinct())
         after = shape(edges)

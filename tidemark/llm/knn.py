@@ -80,7 +80,7 @@ class Voter:
         if self.empty:
             return
         col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        x = np.concatenate([profiles(s) for s in scans(col)])
+        x = np.concatenate([profiles(s) for s in scans(col, rows=BLOCK)])
         df = (x[:, :DIM] > 0).sum(axis=0)
         self.idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.1)
         w = weighed(x, self.idf)
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Voter, *, carry: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [shared.value.score(profiles(s)) for s in scans(b, "__text")]
+            found = [shared.value.score(profiles(s)) for s in scans(b, "__text", rows=BLOCK)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.concatenate([np.zeros(0), *found]))], names=schema.names)
 
     return docs.select(*carry, text_of().alias("__text")).mapInArrow(run, schema)

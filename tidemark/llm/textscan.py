@@ -150,12 +150,12 @@ def column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nd
     return data[off[0] : off[-1]], off - off[0]
 
 
-def scans(batch: pa.RecordBatch, name: str = "text", *, lower: bool = False, limit: int = CHUNK_BYTES):
-    """The chunks of a column, each with whole texts."""
+def scans(batch: pa.RecordBatch, name: str = "text", *, lower: bool = False, limit: int = CHUNK_BYTES, rows: int = 1 << 16):
+    """The chunks of a column, each with whole texts, at most so many."""
     data, off = column(batch, name)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1), i + rows)
         part = data[off[i] : off[j]]
         yield Scan(LOWER[part] if lower else part, off[i : j + 1] - off[i], i)
         i = j
