@@ -123,22 +123,19 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def similarities(left: list[Scan], right: list[Scan]) -> np.ndarray:
+def similarities(a: Scan, b: Scan) -> np.ndarray:
     """The larger of plain and weighted Jaccard for aligned texts."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        da, ha, ca = shingles(a)
-        db, hb, cb = shingles(b)
-        key = np.concatenate([mix(ha ^ mix(da.astype(np.uint64) + np.uint64(1))), mix(hb ^ mix(db.astype(np.uint64) + np.uint64(1)))])
-        doc, count = np.concatenate([da, db]), np.concatenate([ca, cb])
-        order = np.argsort(key, kind="stable")
-        key, doc, count = key[order], doc[order], count[order]
-        both = np.flatnonzero(key[1:] == key[:-1])
-        common = np.bincount(doc[both], minlength=a.n)
-        shared = np.bincount(doc[both], weights=np.minimum(count[both], count[both + 1]), minlength=a.n)
-        sets, sums = np.bincount(doc, minlength=a.n), np.bincount(doc, weights=count, minlength=a.n)
-        out.append(np.maximum(common / np.maximum(sets - common, 1), shared / np.maximum(sums - shared, 1)))
-    return np.concatenate(out) if out else np.zeros(0)
+    da, ha, ca = shingles(a)
+    db, hb, cb = shingles(b)
+    key = np.concatenate([mix(ha ^ mix(da.astype(np.uint64) + np.uint64(1))), mix(hb ^ mix(db.astype(np.uint64) + np.uint64(1)))])
+    doc, count = np.concatenate([da, db]), np.concatenate([ca, cb])
+    order = np.argsort(key, kind="stable")
+    key, doc, count = key[order], doc[order], count[order]
+    both = np.flatnonzero(key[1:] == key[:-1])
+    common = np.bincount(doc[both], minlength=a.n)
+    shared = np.bincount(doc[both], weights=np.minimum(count[both], count[both + 1]), minlength=a.n)
+    sets, sums = np.bincount(doc, minlength=a.n), np.bincount(doc, weights=count, minlength=a.n)
+    return np.maximum(common / np.maximum(sets - common, 1), shared / np.maximum(sums - shared, 1))
 
 
 def node(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -163,15 +160,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            left, right, i = [], [], 0
+            near, i = [], 0
             step = max(1, int(len(b) * (1 << 20) / max(1, b.nbytes)))
-            while i < len(b):
+            while i < len(b):  # what a slice needs is freed before the next
                 part = b.slice(i, step)
-                la, lb = (list(scans(part, c, lower=True, limit=1 << 62)) for c in ("ta", "tb"))
-                left += la
-                right += lb
+                near.append(similarities(*(next(scans(part, c, lower=True, limit=1 << 62)) for c in ("ta", "tb"))) >= THRESHOLD)
                 i += step
-            near = similarities(left, right) >= THRESHOLD
+            if not near:
+                continue
+            near = np.concatenate(near)
             yield b.select(["a", "b"]).filter(pa.array(near))
 
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
