@@ -96,3 +96,36 @@ def test_at_most_once_marks_before_it_writes(spark, folder):
     sink = MemorySink()
     Job([sink], delivery="at_most_once", checkpoint_dir=str(folder / "amo")).start(stream(spark, folder).select("offset")).drain()
     assert len(sink.items) == 30
+
+
+def bounded(spark, *ops):
+    from tidemark.flow import Flow
+
+    return Flow(spark.createDataFrame(ROWS, SCHEMA)).pipe(*ops).df
+
+
+def test_sample_debounce_timeout(spark, folder):
+    from tidemark.streaming import debounce_stream, sample_stream, timeout_stream
+
+    last = {max(r[0] for r in ROWS if r[1] == k) for k in "ab"}
+    got = through(sample_stream(stream(spark, folder), "30s"), folder / "s")
+    assert {r.offset for r in got} | last == {r.offset for r in bounded(spark, op.sample("30s")).collect()}
+    got = through(debounce_stream(stream(spark, folder), "12s"), folder / "d")
+    assert {r.offset: (r.key, r.v) for r in got} == {r.offset: (r.key, r.v) for r in bounded(spark, op.debounce("12s", in_order=True)).collect() if r.offset not in last}
+    got = through(timeout_stream(stream(spark, folder), "14s"), folder / "t")
+    expected = bounded(spark, op.timeout("14s")).collect()
+    assert sorted((r.key, r.since, r.at) for r in got if r.timeout) == sorted((r.key, r.since, r.at) for r in expected if r.timeout) and len(got) == len(expected)
+
+
+def test_late_and_lookup(spark, folder, tmp_path):
+    from tidemark.streaming import late_stream, lookup_stream
+
+    disordered = [(0, "a", T0 + timedelta(minutes=2), None, 0), (1, "a", T0 + timedelta(seconds=10), None, 1), (2, "a", T0 + timedelta(minutes=3), None, 2), (3, "b", T0, None, 3)]
+    spark.createDataFrame(disordered, SCHEMA).coalesce(1).write.parquet(str(folder / "late"))
+    got = through(late_stream(stream(spark, folder, "late"), "30s"), folder / "l")
+    assert {r.offset: r.late for r in got} == {0: False, 1: True, 2: False, 3: False}
+    changes = spark.createDataFrame([(-1, "a", 7), (-1, "b", None)], "offset bigint, key string, level bigint")
+    changes.coalesce(1).write.parquet(str(folder / "changes"))
+    log = spark.readStream.schema(changes.schema).parquet(str(folder / "changes"))
+    got = through(lookup_stream(stream(spark, folder), log), folder / "j")
+    assert {(r.key, r.right.level if r.right else None) for r in got} == {("a", 7), ("b", None)} and len(got) == 40

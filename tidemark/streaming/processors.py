@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,11 +17,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import event_micros
 from ..functions.durations import micros
-from ..operators.folding import Fold, Throttle
+from ..operators.folding import Fold, Sample, Throttle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@dataclass
+class Held:
+    """An emitted value that belongs to an earlier record than the one that the fold is at."""
+
+    record: dict
+    value: object
+
+
 class FoldProcessor(StatefulProcessor):
     """Runs a fold over one key's records.  ``what`` gives the fold's input from a record."""
 
@@ -32,14 +42,12 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("offset", kind="stable")
         state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.fold.start()
-        at, values = [], []
-        for i, record in enumerate(batch.to_dict("records")):
+        rows = []
+        for record in batch.to_dict("records"):
             state, out = self.fold.step(state, self.what(record))
-            at += [i] * len(out)
-            values += out
+            rows += [{**(v.record if isinstance(v, Held) else record), "__value": v.value if isinstance(v, Held) else v} for v in out]
         self.state.update((pickle.dumps(state),))
-        out = batch.iloc[at][self.columns].copy()
-        out["__value"] = values
+        out = pd.DataFrame(rows, columns=[*self.columns, "__value"], dtype=object)
         yield out
 
     def close(self) -> None: ...
@@ -102,6 +110,78 @@ def distinct_stream(df: DataFrame, column: str) -> DataFrame:
     return folded_stream(df, _Changed(column), Itself(), T.BooleanType()).drop("__value")
 
 
+def sample_stream(df: DataFrame, interval) -> DataFrame:
+    """As the operator ``sample``, without the key's last record, which a stream doesn't know."""
+    out = folded_stream(df.withColumn("event_micros", event_micros()), Sample(micros(interval)), TimeOf(), T.BooleanType())
+    return out.where("__value").drop("event_micros", "__value")
+
+
+class _Timeout(Fold):
+    def __init__(self, gap: int):
+        self.gap, self.time = gap, TimeOf()
+
+    def step(self, before, record):
+        t = self.time(record)
+        return t, [before, None] if before is not None and t - before >= self.gap else [None]
+
+
+def timeout_stream(df: DataFrame, interval) -> DataFrame:
+    """As the operator ``timeout``: ``timeout`` marks the markers, which have ``since`` and ``at`` and the offset of the record that ended the silence."""
+    out = folded_stream(df.withColumn("event_micros", event_micros()), _Timeout(micros(interval)), Itself(), T.LongType())
+    return out.withColumns({"timeout": F.col("__value").isNotNull(), "since": F.timestamp_micros("__value"), "at": F.when(F.col("__value").isNotNull(), F.timestamp_micros("event_micros"))}).drop("event_micros", "__value")
+
+
+class _Debounce(Fold):
+    def __init__(self, gap: int):
+        self.gap, self.time = gap, TimeOf()
+
+    def step(self, held, record):
+        passed = held is not None and self.time(record) - self.time(held) >= self.gap
+        return record, [Held(held, True)] if passed else []
+
+
+def debounce_stream(df: DataFrame, interval) -> DataFrame:
+    """As the operator ``debounce`` over input in order: a record is out when its key's next one is an interval later; the last one waits for that."""
+    out = folded_stream(df.withColumn("event_micros", event_micros()), _Debounce(micros(interval)), Itself(), T.BooleanType())
+    return out.drop("event_micros", "__value")
+
+
+class _Late(Fold):
+    def __init__(self, bound: int):
+        self.bound = bound
+
+    def step(self, high, t):
+        if t is None:
+            return high, [False]
+        high = t if high is None else max(high, t)
+        return high, [t < high - self.bound]
+
+
+def late_stream(df: DataFrame, bounded_out_of_orderness) -> DataFrame:
+    """The stream with ``late``: whether a record is older than its key's watermark.  No watermark is declared, so Spark drops none of them."""
+    out = folded_stream(df.withColumn("event_micros", event_micros()), _Late(micros(bounded_out_of_orderness)), TimeOf(), T.BooleanType())
+    return out.withColumnRenamed("__value", "late").drop("event_micros")
+
+
+class _Lookup(Fold):
+    def step(self, row, record):
+        if record["is_change"]:
+            return record["change"], []
+        return row, [row]
+
+
+def lookup_stream(records: DataFrame, changes: DataFrame) -> DataFrame:
+    """As ``join_table_state`` with ``left``: each record with ``right``, its key's row when it came (null if none).  Within a micro-batch offsets decide."""
+    payload = [c for c in changes.columns if c not in ("offset", "partition", "key", "event_time", "ingest_time", "headers")]
+    gone = reduce(lambda a, b: a & b, (F.col(c).isNull() for c in payload))
+    # rows travel as JSON: pandas would turn whole numbers into floats beside nulls
+    log = changes.select("key", "offset", F.lit(True).alias("is_change"), F.when(~gone, F.to_json(F.struct(*payload))).alias("change"))
+    both = log.unionByName(records.withColumn("is_change", F.lit(False)), allowMissingColumns=True)
+    kind = T.StructType([changes.schema[c] for c in payload]).simpleString()
+    out = folded_stream(both, _Lookup(), Itself(), T.StringType())
+    return out.select(*records.columns, F.from_json("__value", kind).alias("right"))
+
+
 def windows_stream(df: DataFrame, size: str, aggregates: dict, *, delay: str, slide: str | None = None) -> DataFrame:
     """Panes of a stream by Spark's own watermark: it moves with each micro-batch, and rows go by their pane's end rather than by their own time.
 
