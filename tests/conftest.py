@@ -1,18 +1,18 @@
 import os
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("TZ", "UTC")
 
 from pyspark.sql import SparkSession  # noqa: E402
+from timebase import T0  # noqa: E402
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import T0
+from timebase import T0
 from pyspark.sql import functions as F
 
 from tidemark import operators as op

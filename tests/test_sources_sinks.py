@@ -4,7 +4,7 @@ import urllib.error
 import urllib.request
 
 import pytest
-from conftest import T0
+from timebase import T0
 
 from tidemark import sources
 from tidemark.flow import Flow
