@@ -399,6 +399,18 @@ def test_labels_of_held_out_rows_change_nothing(documents, labels):
     assert knn.fit(documents, train, sample=10).vectors.shape[0] == 10
 
 
+def test_settings_are_judged_by_folds_without_copies():
+    rng = np.random.default_rng(3)
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
+    texts = [" ".join(rng.choice(words, 40)) + "." for _ in range(40)] + ["#!" * int(rng.integers(20, 60)) for _ in range(40)]
+    x, y = knn.profiles_of(texts), np.repeat([1, 0], 40)
+    grid = [knn.Settings(8, 3, 1.0), knn.Settings(4, 3, 1.0)]
+    got = knn.cross_validated(x, y, np.arange(80), grid)
+    assert got[0][0] == 0 and len(got) == 2
+    # one group: there is no other fold to learn from, and every row scores 0.5
+    assert knn.cross_validated(x, y, np.zeros(80, int), grid[:1]) == [(0.5, 0.25)]
+
+
 # 8 ring
 
 

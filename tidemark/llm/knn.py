@@ -2,9 +2,9 @@
 
 Texts are profiles of hashed character trigrams (with log weights), plus a few rates of character classes.  On a bounded sample of labelled rows
 (``SAMPLE`` rows at most; the bound of the fit) document frequencies weigh the trigrams and a truncated singular-value
-decomposition gives ``RANK`` latent directions.  Projection and labelled vectors have fixed greatest sizes (``DIM`` x ``RANK`` and
-``SAMPLE`` x ``RANK`` numbers) and are broadcast.  Each text's cosines with all labelled vectors are exact, from blocked
-matrix products; the ``K`` nearest vote with their similarity to the power ``SHARPNESS``, each class weighed by its
+decomposition gives ``rank`` latent directions.  Projection and labelled vectors have fixed greatest sizes (``DIM + STYLE`` x ``rank`` and
+``SAMPLE`` x ``rank`` numbers) and are broadcast.  Each text's cosines with all labelled vectors are exact, from blocked
+matrix products; the ``k`` nearest vote with their similarity to the power ``sharpness``, each class weighed by its
 share in the sample.  Every document is scored by itself, without a shuffle.
 
 The sample is that of the least hashes of (doc_id, label), the same on every run.  Null labels are no labels; null texts are
@@ -15,6 +15,9 @@ empty table gives an empty result; ``keep`` carries all other columns.
 
 from __future__ import annotations
 
+import copy
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -23,10 +26,23 @@ from .cascade import dup_lines
 from .common import text_of
 from .textscan import LOWER, SPACE, Scan, mix, scans
 
-DIM, RANK, SAMPLE, K, SHARPNESS = 4096, 96, 4096, 15, 4.0
-STYLE, STYLE_WEIGHT = 66, 2.0
+DIM, STYLE, SAMPLE = 4096, 66, 4096
 BLOCK = 1024
 
+
+@dataclass(frozen=True)
+class Settings:
+    """``style``: how many of the STYLE cells count, from the first on, with weight ``style_weight`` beside the trigrams."""
+
+    rank: int = 192
+    k: int = 15
+    sharpness: float = 4.0
+    style: int = STYLE
+    style_weight: float = 2.0
+
+
+SETTINGS = Settings()
+
 # classes of bytes: upper case, lower case, digits, full stops and commas, other ASCII signs, blanks, line feeds, beyond ASCII
 CLASSES = np.full(256, 4)
 CLASSES[ord("A") : ord("Z") + 1] = 0
@@ -64,41 +80,46 @@ def profiles(scan: Scan) -> np.ndarray:
     return out
 
 
-def weighed(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weighed(x: np.ndarray, idf: np.ndarray, s: Settings = SETTINGS) -> np.ndarray:
     """Trigrams by inverse frequency, both blocks of features at unit length."""
-    a, b = x[:, :DIM] * idf, x[:, DIM:]
+    a, b = x[:, :DIM] * idf, x[:, DIM : DIM + s.style]
     norm = lambda y: y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-9)
-    return np.concatenate([norm(a), np.float32(STYLE_WEIGHT) * norm(b)], axis=1)
+    return np.concatenate([norm(a), np.float32(s.style_weight) * norm(b)], axis=1)
 
 
 class Voter:
     """The fitted model; all that is broadcast."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        self.labels = labels.astype(np.float32)
-        self.empty = not len(texts)
+    def __init__(self, x: np.ndarray, labels: np.ndarray, settings: Settings = SETTINGS):
+        self.labels, self.settings = labels.astype(np.float32), settings
+        self.empty = not len(x)
         if self.empty:
             return
-        col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        x = np.concatenate([profiles(s) for s in scans(col, rows=BLOCK)])
         df = (x[:, :DIM] > 0).sum(axis=0)
         self.idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-        w = weighed(x, self.idf)
-        self.basis = latent(w, RANK)
+        w = weighed(x, self.idf, settings)
+        self.basis = latent(w, settings.rank)
         self.vectors = unit(w @ self.basis)
         ones = float(self.labels.mean())
         self.class_weight = np.where(self.labels > 0, 0.5 / max(ones, 1e-9), 0.5 / max(1 - ones, 1e-9)).astype(np.float32)
 
+    def narrowed(self, settings: Settings, x: np.ndarray) -> Voter:
+        """The same model with fewer directions or another vote; x is what it was fitted on."""
+        out = copy.copy(self)
+        out.settings, out.basis = settings, self.basis[:, : settings.rank]
+        out.vectors = unit(weighed(x, self.idf, settings) @ out.basis)
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.empty:
             return np.full(len(x), 0.5)
         out = []
         for low in range(0, len(x), BLOCK):
-            v = unit(weighed(x[low : low + BLOCK], self.idf) @ self.basis)
+            v = unit(weighed(x[low : low + BLOCK], self.idf, self.settings) @ self.basis)
             cos = v @ self.vectors.T
-            k = min(K, cos.shape[1])
+            k = min(self.settings.k, cos.shape[1])
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** SHARPNESS * self.class_weight[near]
+            vote = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.settings.sharpness * self.class_weight[near]
             total = vote.sum(axis=1)
             out.append(np.where(total > 0, (vote * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), 0.5))
         return np.clip(np.concatenate(out).astype(np.float64), 0, 1) if out else np.zeros(0)
@@ -118,12 +139,46 @@ def latent(x: np.ndarray, rank: int) -> np.ndarray:
     return (q @ vt.T)[:, :rank].astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Voter:
+def profiles_of(texts: list[str]) -> np.ndarray:
+    col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return np.concatenate([np.zeros((0, DIM + STYLE), np.float32), *(profiles(s) for s in scans(col, rows=BLOCK))])
+
+
+def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid: list[Settings], *, folds: int = 4) -> list[tuple[float, float]]:
+    """For each setting the error and mean square error, averaged over both labels, of rows scored by models of other folds.
+
+    Rows of one group share a fold.  Settings of one style share a decomposition, of which they take the leading directions.
+    """
+    fold = (mix(groups.astype(np.uint64)) % np.uint64(folds)).astype(int)
+    scores = np.full((len(grid), len(labels)), 0.5)
+    for f in range(folds):
+        test = fold == f
+        if not test.any() or test.all():
+            continue
+        for style in sorted({(s.style, s.style_weight) for s in grid}):
+            same = [(i, s) for i, s in enumerate(grid) if (s.style, s.style_weight) == style]
+            voter = Voter(x[~test], labels[~test], max((s for _, s in same), key=lambda s: s.rank))
+            for i, s in same:
+                scores[i, test] = voter.narrowed(s, x[~test]).score(x[test])
+    out = []
+    for got in scores:
+        by_label = [(((got >= 0.5) != y)[labels == y].mean(), ((got - y) ** 2)[labels == y].mean()) for y in (0, 1) if (labels == y).any()]
+        out.append(tuple(float(np.mean(v)) for v in zip(*by_label, strict=True)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, settings: Settings = SETTINGS) -> Voter:
     """Fit on at most ``sample`` labelled rows, those of the least hashes."""
+    rows = sampled(docs, labels, label=label, sample=sample).select("text", "label").collect()
+    return Voter(profiles_of([r["text"] for r in rows]), np.array([r["label"] > 0 for r in rows], np.float32), settings)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, label) of the rows to fit on."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.withColumn("__place", F.xxhash64("doc_id", "label")).orderBy("__place", "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").orderBy("__place", "doc_id", "label", "text").limit(sample).select("text", "label").collect()
-    return Voter([r["text"] for r in rows], np.array([r["label"] > 0 for r in rows], np.float32))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.orderBy("__place", "doc_id", "label", "text").limit(sample).select("doc_id", "text", "label")
 
 
 def score(docs: DataFrame, model: Voter, *, carry: list[str]) -> DataFrame:
