@@ -498,6 +498,16 @@ def test_matches_against_full_alignment(spark):
         decontam.BLOCK_BYTES = before
 
 
+def test_hits_in_slices_are_the_same_hits(monkeypatch):
+    items = [(1, b"a" * 90), (2, b"the quick brown fox jumps over the lazy dog again and again")]
+    raw = [b"a" * 4000, b"x " + items[1][1].replace(b"lazy", b"lzy") + b" y", b"ab" * 300 + b"a" * 88, b""]
+    texts = decontam.plain(decontam.Scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))[0]
+    whole = list(decontam.Index(items).verified(texts))
+    assert {(d, i) for d, i, *_ in whole} == {(0, 0), (1, 1), (2, 0)}
+    monkeypatch.setattr(decontam, "HITS", 50)
+    assert list(decontam.Index(items).verified(texts)) == whole
+
+
 def test_exact_passages_are_found_where_they_are(documents, benchmark, texts):
     items = {r.item_id: r.text for r in benchmark.collect()}
     rows = decontam.matches(documents, benchmark).collect()

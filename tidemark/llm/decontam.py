@@ -27,6 +27,7 @@ Q = 12
 ERROR = 0.05
 BLOCK_BYTES = 1 << 20
 BITS = 22
+HITS = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,31 +82,37 @@ class Index:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.h >> np.uint64(64 - BITS)] = True
 
-    def hits(self, scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, benchmark text and diagonal of every shared q-gram."""
+    def hits(self, scan: Scan):
+        """Text, benchmark text and diagonal of every shared q-gram, in slices of about ``HITS`` (or the entries of one q-gram)."""
         g = grams(scan)
         at = np.flatnonzero(self.seen[g >> np.uint64(64 - BITS)])
         doc = np.searchsorted(scan.off, at, side="right") - 1
         inside = at + Q <= scan.off[1:][doc]
         at, doc = at[inside], doc[inside]
         low, high = np.searchsorted(self.h, g[at]), np.searchsorted(self.h, g[at], side="right")
-        n = high - low
-        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(doc, n), self.item[entry].astype(np.int64), np.repeat(at, n) - self.place[entry]
+        real = high > low
+        at, doc, low, n = at[real], doc[real], low[real], (high - low)[real]
+        end = np.cumsum(n)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + HITS, side="right")))
+            m = n[i:j]
+            entry = np.repeat(low[i:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.repeat(doc[i:j], m), self.item[entry].astype(np.int64), np.repeat(at[i:j], m) - self.place[entry]
+            i = j
 
     def candidates(self, scan: Scan):
         """(text, benchmark text, first diagonal, last diagonal) of each band that reaches the bound."""
-        doc, item, diagonal = self.hits(scan)
-        if not len(doc):
-            return
-        step = self.edits[item] + 1
-        band = (diagonal + (1 << 40)) // step
-        keys = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        at = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        count = np.diff(np.append(at, keys.shape[1]))
-        for d, i, b in keys[:, at[count >= self.need[keys[1, at]]]].T.tolist():
+        keys, count = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        for doc, item, diagonal in self.hits(scan):
+            band = (diagonal + (1 << 40)) // (self.edits[item] + 1)
+            new = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
+            keys, count = np.concatenate([keys, new], axis=1), np.concatenate([count, np.ones(new.shape[1], np.int64)])
+            order = np.lexsort(keys[::-1])
+            keys, count = keys[:, order], count[order]
+            at = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            keys, count = keys[:, at], np.add.reduceat(count, at)
+        for d, i, b in keys[:, count >= self.need[keys[1]]].T.tolist():
             s = int(self.edits[i]) + 1
             yield d, i, b * s - (1 << 40), (b + 2) * s - 1 - (1 << 40)
 
