@@ -219,8 +219,9 @@ class Model:
                 hs, cs = [], []
                 for x, y in zip(b.column("hashes"), b.column("counts"), strict=True):
                     h, c = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<i8")
-                    hs.append(h[c >= floor].tobytes())
-                    cs.append(c[c >= floor].tobytes())
+                    if (c >= floor).any():  # no row to the driver for other buckets
+                        hs.append(h[c >= floor].tobytes())
+                        cs.append(c[c >= floor].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(cs, pa.binary())], names=["hashes", "counts"])
 
         got = self.counts.where("gram = 1").select("hashes", "counts").mapInArrow(pick, "hashes binary, counts binary").collect()
