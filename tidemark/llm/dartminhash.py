@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 26
 DARTS = 9
 BLOCK = 512
-PART_ROWS = 2000
+PART_ROWS, PART_BYTES = 2000, 16 << 20
 MASK = (1 << 64) - 1
 
 
@@ -182,8 +182,11 @@ def resolved(rest: DataFrame, texts: DataFrame) -> DataFrame:
     Members of a bucket are dealt into blocks of about ``BLOCK``, and two blocks meet in one place; there a product of
     incidence matrices gives every similarity, and only links that join what is apart go on, fewer than members.
     """
-    parts = max(64, -(-rest.count() // PART_ROWS))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # what the groups below will hold: a member comes once for each block of its bucket, with its text
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("bytes"))
+    load = rest.withColumn("nb", blocks).join(sizes, "id").agg(F.sum(F.col("nb").cast("long")).alias("rows"), F.sum(F.col("nb") * F.col("bytes")).alias("bytes")).first()
+    parts = max(64, -(-(load["rows"] or 0) // PART_ROWS), -(-(load["bytes"] or 0) // PART_BYTES))
     dealt = rest.withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "id", "root", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)).cast("int"))
