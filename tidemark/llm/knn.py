@@ -34,7 +34,7 @@ BLOCK = 1024
 class Settings:
     """``style``: how many of the STYLE cells count, from the first on, with weight ``style_weight`` beside the trigrams."""
 
-    rank: int = 192
+    rank: int = 96
     k: int = 15
     sharpness: float = 4.0
     style: int = STYLE
