@@ -552,6 +552,16 @@ def test_filter_levels_never_fall_short():
     assert (absent > 0).mean() < 0.02
 
 
+def test_pairs_seen_once_are_scored(spark):
+    words = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "doc_id bigint, text string")
+    model = bloomlm.Model(docs.where("doc_id = 1"))
+    assert {r["gram"]: r["n"] for r in model.counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()} == {1: 61, 2: 61}
+    got = {r.doc_id: r.score for r in bloomlm.score(docs, model, keep=("doc_id",)).collect()}
+    # each pair was seen once after a word seen once: nearly the whole pair weight, and none of it the other way round
+    assert got[1] > 61 * math.log10(0.9 * bloomlm.WEIGHT) > got[2] + 50
+
+
 # SQL and the pipeline
 
 

@@ -3,7 +3,7 @@
 Training counts words and word pairs.  Each distinct n-gram with count c gets a level 1 + floor(log2 c),
 and the filter holds the n-gram once for each level from 1 to that.  A worker finds a count again by
 probing level 1, 2, ... until the first that is missing; the midpoint of the level stands for the
-count.  Pairs seen once are left to the back-off (``PAIR_MIN``, a cut-off of the model at any size).
+count.  Every word and pair of the training texts is in the filter, those seen once at level 1.
 
 Counting moves packed blobs instead of rows: a task reduces what it reads to distinct hashes and
 counts, cut into buckets by the hash's leading bits; a bucket's blobs meet in one group, whose size is
@@ -33,7 +33,6 @@ from .common import cut, doc_remainder, text_of
 from .textscan import Scan, counted, mix, scans
 
 HOT_WORDS = 1 << 19
-PAIR_MIN = 2
 BITS_PER_ENTRY = 10
 PROBES = 5
 SLICE_BYTES = 64 << 20
@@ -116,7 +115,10 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def merged(blobs: DataFrame) -> DataFrame:
-    """Whole counts, one row per gram and bucket; ``entries`` counts the filter's insertions."""
+    """Whole counts, one row per gram and bucket; ``entries`` counts the filter's insertions.
+
+    Words are kept with counts of 64 bits, pairs as 48 bits of hash with a level of 8 bits, which is all the filter needs.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
         gram = table.column("gram")[0].as_py()
@@ -124,11 +126,10 @@ def merged(blobs: DataFrame) -> DataFrame:
         h = np.concatenate([read(x.as_py()) for x in table.column("hashes")])
         c = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
         h, c = counted(h, c)
-        if gram == 2:
-            h, c = h[c >= PAIR_MIN], c[c >= PAIR_MIN]
         levels = level_of(c)
+        hashes, counts = (h.astype("<u8"), c.astype("<i8")) if gram == 1 else (pack48(h), levels.astype(np.uint8))
         hist = np.bincount(np.floor(8 * np.log2(np.maximum(c, 1))).astype(int), minlength=1) if gram == 1 else np.zeros(1, int)
-        return pa.table({"gram": pa.array([gram], pa.int32()), "bucket": table.column("bucket").combine_chunks()[:1], "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "entries": pa.array([int(levels.sum())], pa.int64()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64())), "hashes": pa.array([h.astype("<u8").tobytes()], pa.binary()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
+        return pa.table({"gram": pa.array([gram], pa.int32()), "bucket": table.column("bucket").combine_chunks()[:1], "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "entries": pa.array([int(levels.sum())], pa.int64()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64())), "hashes": pa.array([bytes(hashes)], pa.binary()), "counts": pa.array([bytes(counts)], pa.binary())})
 
     return blobs.groupBy("gram", "bucket").applyInArrow(merge, "gram int, bucket int, n long, total long, entries long, hist array<long>, hashes binary, counts binary")
 
@@ -251,8 +252,11 @@ class Model:
             for b in batches:
                 segs = []
                 for g, x, y in zip(b.column("gram"), b.column("hashes"), b.column("counts"), strict=True):
-                    h, c = np.frombuffer(x.as_py(), "<u8").astype(np.uint64), np.frombuffer(y.as_py(), "<i8")
-                    segs.append(segment(h, level_of(c), bits[g.as_py()]))
+                    if g.as_py() == 1:
+                        h, levels = np.frombuffer(x.as_py(), "<u8").astype(np.uint64), level_of(np.frombuffer(y.as_py(), "<i8"))
+                    else:
+                        h, levels = unpack48(x.as_py()), np.frombuffer(y.as_py(), np.uint8)
+                    segs.append(segment(h, levels, bits[g.as_py()]))
                 yield pa.RecordBatch.from_arrays([b.column("gram"), b.column("bucket"), pa.array(segs, pa.binary())], names=["gram", "bucket", "seg"])
 
         rows = self.counts.where(F.col("bucket").between(low, high - 1)).select("gram", "bucket", "hashes", "counts").mapInArrow(build, "gram int, bucket int, seg binary").toLocalIterator()
