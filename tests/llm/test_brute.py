@@ -352,6 +352,19 @@ def test_classes_against_all_pairs(spark, documents, texts):
     assert got == expected
 
 
+def test_texts_alike_but_for_counts_meet(spark):
+    rnd = random.Random(17)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    texts = {}
+    for i in range(0, 60, 3):  # a text, the text three times over, and the text with one line many times
+        body = prose(200)
+        texts |= {i: body, i + 1: " ".join([body] * 3), i + 2: body + "\n" + "\n".join([prose(10)] * 20)}
+    expected = plain_classes(texts)
+    assert expected == {k: k - k % 3 for k in texts}
+    got = {r.id: r.class_id for r in dartminhash.classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = random.Random(8)
     a = {i: rnd.choice([0.5, 1, 2, 7]) for i in range(200)}

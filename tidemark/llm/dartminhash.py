@@ -7,11 +7,14 @@ the shingle's weight; each dart falls on one of k coordinates, and the dart of l
 agree in a coordinate with the probability of their weighted Jaccard similarity.  Only ranks below about
 ``DARTS * k / total weight`` need be thrown, so long texts cost little more than one hash a shingle.
 
+The exact check below takes plain similarity too, so a text with repeated shingles gets a second signature, with every weight 1.  Where nothing
+repeats the two are the same, so both kinds share one set of bands, and plain similarity is estimated for any two texts.
+
 Joining: equal texts first fall to one representative.  Groups of ``ROWS`` coordinates are band keys.  In a bucket of equal
 keys every member meets one centre, picked by the key (another in every band), so a bucket costs its size, not
 its square.  What passes the exact check is joined into components; only buckets that then still hold several components
-are gone through again, in blocks and without a row for each pair.  A pair at similarity 0.8 is
-missed in all bands with probability 0.0004.
+are gone through again, in blocks and without a row for each pair.  A pair at plain or
+weighted similarity 0.8 is missed in all bands with probability 0.0004.
 
 The exact check: two texts are near if the plain Jaccard similarity of their shingle sets, or the weighted one, is 0.8 or more.
 
@@ -149,8 +152,15 @@ def sign(batches):
         for scan in scans(b, lower=True):
             doc, h, count = shingles(scan)
             rows, sig = signatures(scan.n, doc, h, count.astype(np.float64))
-            keys = band_keys(sig).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            keys = band_keys(sig)
+            part = (np.bincount(doc, weights=count > 1, minlength=scan.n) > 0)[doc]
+            again, sig = signatures(scan.n, doc[part], h[part], np.ones(int(part.sum())))
+            plain = band_keys(sig)
+            new = plain != keys[np.searchsorted(rows, again)]  # a band that is the same in both is there already
+            owner = np.concatenate([np.repeat(rows, BANDS), np.repeat(again, BANDS)[new.reshape(-1)]])
+            keys = np.concatenate([keys.reshape(-1), plain[new]]).view(np.int64)[np.argsort(owner, kind="stable")]
+            off = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=scan.n)[rows])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(keys))
             at = pa.array(rows + scan.first)
             yield pa.RecordBatch.from_arrays([ids.take(at), k1.take(at), k2.take(at), lists], names=["id", "k1", "k2", "bands"])
 
