@@ -5,7 +5,7 @@ e = ``ERROR`` * m edits.  Such a match shares at least m + 1 - Q * (e + 1) of it
 document minus place in the text) that differ by at most e.  Shared q-grams are counted in diagonal bands of twice e + 1 that
 overlap by half, so every match lies whole in one band.  Bands that reach the bound are verified by an alignment
 confined to the band and e beyond it.  For short texts e falls until the bound is positive; texts under Q bytes are no
-evidence and never match.
+evidence and never match.  The bound is that of the whole text: a document that quotes only part of one does not match.
 
 Every document is judged by itself: no shuffle, and a passage that a third of all documents hold is only as many matches.
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (or one longer text), one scan of the documents for each.
