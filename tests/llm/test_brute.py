@@ -124,7 +124,7 @@ def test_exchange_saves_sequences(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, length bigint")
     before, packing.PART_ITEMS = packing.PART_ITEMS, 100
     try:
-        got = packing.sequences(df, n_items=3000).collect()
+        got = packing.sequences(df).collect()
     finally:
         packing.PART_ITEMS = before
     used = Counter()
@@ -138,6 +138,26 @@ def test_exchange_saves_sequences(spark):
     assert len(used) <= 1.05 * packing.lower_bound(np.array([x for _, x in rows]), 1024) <= 1.05 * one_by_one
 
 
+def test_parts_are_bounded_whatever_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ITEMS", 500)
+    same = spark.createDataFrame([(None, None)], "doc_id bigint, text string").crossJoin(spark.range(5000)).select("doc_id", "text")
+    book = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(60_000)))], "doc_id bigint, text string")
+    rows = packing.pack(same.unionByName(book), payload=F.crc32("ids"), name="crc").collect()
+    parts = packing.dealt(spark.range(20_000).selectExpr("id * 8589934592 + id as __row", "1 as length"), 20_000).groupBy("__part").count().collect()
+    assert len(parts) == 40 and max(r["count"] for r in parts) <= 1000
+    assert sum(r.start == 0 for r in rows) == 5001
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 for x in used.values())
+    for x in used.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+    assert len(used) <= -(-sum(r.length for r in rows) // 1024) + 11
+
+
 # 2 spans
 
 

@@ -8,17 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
-
-    The folder is that of ``spark.checkpoint.dir``; only where that is unset (local tests) one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset, a session in one process (a test) gets a folder of its own; any other is refused,
+    since its executors might not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

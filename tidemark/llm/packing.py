@@ -1,9 +1,10 @@
 """Best-fit packing with certified bin counts.
 
 Every document becomes the ids of a byte-level BPE and an end id.  Longer documents are cut into pieces of ``length`` ids, of
-which the first may be shorter; full pieces are sequences of their own.  The others are packed:
+which the first may be shorter; full pieces are sequences of their own and take no part in what follows.  The others are packed:
 
-1. They are dealt by hash into parts of about ``PART_ITEMS`` pieces, and each part is packed by best-fit decreasing.
+1. They are numbered in a stored table and dealt by a hash of the number into parts of about ``PART_ITEMS`` pieces, and each part is packed by
+   best-fit decreasing.  Only numbers and lengths move.
 2. A lower bound certifies a part: the greatest of the bounds that dual feasible functions give (size itself; the rounding functions
    u_k; the thresholds that weigh items beyond C - t as whole and drop those under t).  A part whose count of sequences equals
    its bound is optimal.
@@ -11,10 +12,11 @@ which the first may be shorter; full pieces are sequences of their own.  The oth
    packed again; the new packing counts only if it takes fewer sequences than the old ones had.  That is repeated ``ROUNDS`` times.
    Sequences that are full, and parts that are certified, stay.
 
-Parts are bounded at any size of the input, and pieces carry what the caller wants (ids, or a digest of them) beside keys.
+Numbers are unique to rows, so equal rows are dealt like any others and a part's size doesn't depend on the data; a document of thousands of pieces
+adds one piece at most to a part.  Pieces carry what the caller wants (ids, or a digest of them).
 
 Null texts are empty: their one id is the end id.  Each row is packed for itself, also rows that repeat or share a doc_id.
-Ties go by the order in which a part's rows arrive.  An empty table gives an empty result.
+Ties go by the rows' numbers.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -171,13 +173,24 @@ def places(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sequences(items: DataFrame, *, length: int = LENGTH, n_items: int | None = None) -> DataFrame:
-    """items (with a column ``length`` from 1 up to the length of sequences) plus sequence_id and offset; all other columns are carried."""
-    n = items.count() if n_items is None else n_items
-    parts = max(1, -(-n // PART_ITEMS))
-    work = T.StructType([*items.schema.fields, *(T.StructField(x, T.LongType()) for x in ("__part", "__bin", "__offset")), T.StructField("__open", T.BooleanType())])
+def dealt(numbered: DataFrame, n: int) -> DataFrame:
+    """(__row, length, __part) of n rows with numbers, in parts of about ``PART_ITEMS``."""
+    return numbered.select("__row", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("__row"), F.lit(max(1, -(-n // PART_ITEMS))).cast("long")).alias("__part"))
+
+
+def sequences(items: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """items (with a column ``length`` from 1 up to the length of sequences) plus sequence_id and offset; all other columns are carried.
+
+    Items are stored once with a number each; only numbers and lengths are dealt, packed and exchanged, and meet their items again at the end.
+    """
+    long = lambda x: F.lit(x).cast("long")
+    stored = cut(items.withColumn("__row", F.monotonically_increasing_id()))
+    whole = stored.where(F.col("length") == length)
+    open_items = stored.where(F.col("length") < length)
+    work = T.StructType([T.StructField("__row", T.LongType()), T.StructField("length", T.LongType()), *(T.StructField(x, T.LongType()) for x in ("__part", "__bin", "__offset")), T.StructField("__open", T.BooleanType())])
 
     def step(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__row")
         sizes = table.column("length").to_numpy().astype(np.int64)
         old = table.column("__bin").to_numpy()
         bins, opened, _ = repack(sizes, None if old[0] < 0 else old, length)
@@ -187,9 +200,8 @@ def sequences(items: DataFrame, *, length: int = LENGTH, n_items: int | None = N
             table = table.set_column(table.schema.get_field_index(name), name, pa.array(x))
         return table.select(work.names)
 
-    long = lambda x: F.lit(x).cast("long")
-    dealt = items.withColumns({"__part": F.pmod(F.xxhash64(*items.columns), long(parts)), "__bin": long(-1), "__offset": long(0), "__open": F.lit(True)})
-    state = cut(dealt.groupBy("__part").applyInArrow(step, work))
+    start = dealt(open_items, open_items.count()).withColumns({"__bin": long(-1), "__offset": long(0), "__open": F.lit(True)})
+    state = cut(start.groupBy("__part").applyInArrow(step, work))
     done = []
     for r in range(ROUNDS):
         done.append(state.where("not __open").withColumn("__round", long(r)))
@@ -198,13 +210,16 @@ def sequences(items: DataFrame, *, length: int = LENGTH, n_items: int | None = N
         if state.isEmpty():
             break
     done.append(state.withColumn("__round", long(ROUNDS)))
-    out = done[0]
+    placed = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(*items.columns, (F.col("__bin") * (ROUNDS + 1) + F.col("__round")).alias("sequence_id"), F.col("__offset").alias("offset"))
+        placed = placed.unionByName(d)
+    # even numbers for packed sequences, odd ones for items that fill a sequence alone
+    placed = placed.select("__row", (2 * (F.col("__bin") * (ROUNDS + 1) + F.col("__round"))).alias("sequence_id"), F.col("__offset").alias("offset"))
+    alone = whole.select(*items.columns, (2 * F.col("__row") + 1).alias("sequence_id"), long(0).alias("offset"))
+    return open_items.join(placed, "__row").select(*items.columns, "sequence_id", "offset").unionByName(alone)
 
 
 def pack(docs: DataFrame, *, payload: Column | None = None, name: str = "ids", length: int = LENGTH, tokenizer=public_bpe) -> DataFrame:
     """All of docs packed: (doc_id, piece, start, length, <payload>, sequence_id, offset); the payload is the ids unless another is given."""
     items = pieces(docs, tokenizer=tokenizer, length=length).select("doc_id", "piece", "start", "length", (F.col("ids") if payload is None else payload).alias(name))
-    return sequences(items, length=length, n_items=docs.count())
+    return sequences(items, length=length)
