@@ -122,6 +122,9 @@ def test_chat(spark):
     got = {r.conv_id: (r.formatted, [(m.start, m.stop) for m in r["mask"]]) for r in chat.formatted(df).collect()}
     assert got[1] == ("### user: hi</turn>\n", []) and got[None] == ("### assistant: </turn>\n", [(15, 15)]) and got[2][0] == "### : \\</turn></turn>\n"
     assert chat.formatted(df.where("false")).count() == 0 and chat.digests(chat.formatted(df)).count() == 3
+    big = "\\###</turn>" * 300_000
+    one = spark.createDataFrame([(1, 1, "open", 0, "assistant", big), (1, 2, "delta", 0, None, big)], "conv_id bigint, seq bigint, op string, msg bigint, role string, text string")
+    assert chat.read_back(chat.formatted(one).first().formatted) == [("assistant", big + big)]
 
 
 def test_revisits(spark):
@@ -135,3 +138,16 @@ def test_revisits(spark):
     got = [(r.record_id, r.outcome, r.source_id, r.payload, r.headers.get("date")) for r in revisits.resolve(df).collect()]
     assert Counter(got) == Counter([(3, "missing", None, None, None), (4, "resolved", 2, "two", "d4"), (4, "resolved", 2, "two", "d4"), (5, "missing", None, None, None), (6, "missing", None, None, None), (7, "unverified", None, None, None)])
     assert revisits.resolve(df.where("false")).count() == 0
+
+
+def test_repeated_captures_and_wild_times(spark):
+    schema = "record_id bigint, url string, ts bigint, kind string, headers map<string,string>, payload string"
+    long_text = "x" * 3_000_000
+    rows = [(1, "a", 10, "response", {"etag": "e"}, long_text)] * 3 + [(2, "a", 11, "revisit", {"etag": "e"}, None), (2, "a", 11, "revisit", {"etag": "e"}, None), (2, "a", 12, "revisit", {"etag": "no"}, None)]
+    rows += [(None, "b", 10, "response", {"etag": "e"}, "none"), (3, "b", 11, "revisit", {"etag": "e"}, None), (4, "b", 2**60, "revisit", {"etag": "e"}, None)]
+    got = Counter((r.record_id, r.outcome, r.source_id, len(r.payload or "")) for r in revisits.resolve(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert got == {(2, "resolved", 1, 3_000_000): 2, (2, "mismatch", None, 0): 1, (3, "resolved", None, 4): 1, (4, "resolved", None, 4): 1}
+    # one URL, two thousand captures and one wild time: still many slices
+    hot = spark.range(2000).selectExpr("'u' as canon", "if(id = 0, 1000000000000, id) as ts", "named_struct('ts', if(id = 0, 1000000000000, id), 'record_id', id) as resp")
+    found = {r.ts: r.found for r in revisits.latest_earlier(hot).collect()}
+    assert found[1] is None and all(found[t].ts == t - 1 for t in range(2, 2000)) and found[10**12].ts == 1999

@@ -18,17 +18,22 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_events(turns: DataFrame) -> DataFrame:
-    """Conversations by turn as a log: each message is opened empty, then streamed in two deltas."""
+    """Conversations by turn as a log with a past.  By the message's number, modulo 4: opened and streamed in two deltas; a first draft, edited to the first half, then
+    a delta; a draft, and a draft of the next message, both undone by a regeneration, then two deltas; all of these.  What is left in the end are the turns."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(w).cast("long").alias("msg"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    steps = F.array(
-        F.struct(F.lit("open").alias("op"), F.lit("").alias("part")),
-        F.struct(F.lit("delta").alias("op"), F.expr("substring(text, 1, cast(length(text) div 2 as int))").alias("part")),
-        F.struct(F.lit("delta").alias("op"), F.col("text").substr(half + 1, F.length("text")).alias("part")),
-    )
+    first = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
+    rest = F.col("text").substr(F.floor(F.length("text") / 2).cast("int") + 1, F.length("text"))
+    step = lambda op, part, ahead=0: F.struct(F.lit(op).alias("op"), part.alias("part"), F.lit(ahead).alias("ahead"))
+    draft = F.concat(F.lit("draft of "), F.col("role"))
+    opened = [step("open", F.lit(""))]
+    edited = [step("open", draft), step("edit", first), step("delta", rest)]
+    undone = [step("delta", draft), step("open", F.lit("too early"), 1), step("regenerate", F.lit(""))]
+    streamed = [step("delta", first), step("delta", rest)]
+    steps = F.when(F.col("msg") % 4 == 1, F.array(*opened, *streamed)).when(F.col("msg") % 4 == 2, F.array(*edited))
+    steps = steps.when(F.col("msg") % 4 == 3, F.array(*opened, *undone, *streamed)).otherwise(F.array(*opened, *undone, step("delta", draft), *edited[1:]))
     log = rows.select("conv_id", "role", "msg", F.posexplode(steps).alias("k", "step"))
-    return log.select("conv_id", (F.col("msg") * 3 + F.col("k")).alias("seq"), "step.op", "msg", "role", F.col("step.part").alias("text"))
+    return log.select("conv_id", (F.col("msg") * 16 + F.col("k")).alias("seq"), "step.op", (F.col("msg") + F.col("step.ahead")).alias("msg"), "role", F.col("step.part").alias("text"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,23 +48,27 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Captures made of pages: each page is a full response at ten times its id, and five later (for some pages five earlier) its URL
-    is asked again and answered "not modified", with a good, weak, stale, dated or no validator."""
+    """Captures made of pages.  Each page is a full response at ten times its id, for every second page under the address of its site's front page instead of its own,
+    so that sites have many captures.  97 pages long a site keeps its validator; other pages have their own.  Later (for some pages earlier) the address is asked again
+    and answered "not modified", with a good, weak, stale, dated or no validator: a page's own five ticks later, a site's up to twelve pages later, so another page answers."""
     page = F.col("page_id")
-    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    shared = page % 2 == 0
+    url = F.when(shared, F.regexp_extract(F.coalesce("url", F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)).otherwise(F.col("url"))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.when(shared, F.floor(page / 97).cast("string")).otherwise(F.col("html"))), 1, 16), F.lit('"'))
+    dated = F.when(shared, F.floor(page / 97)).otherwise(page)
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
     headers = lambda *kv: F.map_from_entries(F.filter(F.array(*(pair(k, v) for k, v in kv)), lambda e: e["value"].isNotNull()))
     full = pages.select(
-        (page * 2).alias("record_id"), "url", (page * 10).alias("ts"), F.lit("response").alias("kind"),
-        headers(("etag", tag), ("last-modified", page), ("content-type", F.lit("text/html")), ("date", page * 10), ("cache-control", F.lit("max-age=60"))).alias("headers"),
+        (page * 2).alias("record_id"), url.alias("url"), (page * 10).alias("ts"), F.lit("response").alias("kind"),
+        headers(("etag", tag), ("last-modified", dated), ("content-type", F.lit("text/html")), ("date", page * 10), ("cache-control", F.lit("max-age=60"))).alias("headers"),
         F.col("html").alias("payload"),
     )
-    ts = F.when(page % 11 == 5, page * 10 - 5).otherwise(page * 10 + 5)
+    ts = F.when(page % 11 == 5, page * 10 - 5).when(shared, page * 10 + 5 + 10 * (page % 13)).otherwise(page * 10 + 5)
     kind = page % 7
     again = F.when(kind == 3, F.lit('"stale"')).when(kind == 4, F.concat(F.lit("W/"), tag)).when(kind < 3, tag)
     asked = pages.select(
-        (page * 2 + 1).alias("record_id"), "url", ts.alias("ts"), F.lit("revisit").alias("kind"),
-        headers(("etag", again), ("last-modified", F.when(kind == 5, page)), ("content-type", F.lit("text/plain")), ("date", ts), ("cache-control", F.lit("no-cache"))).alias("headers"),
+        (page * 2 + 1).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit("revisit").alias("kind"),
+        headers(("etag", again), ("last-modified", F.when(kind == 5, dated)), ("content-type", F.lit("text/plain")), ("date", ts), ("cache-control", F.lit("no-cache"))).alias("headers"),
         F.lit(None).cast("string").alias("payload"),
     )
     return full.unionByName(asked)
@@ -140,16 +149,19 @@ SQL = {
                     OR 2 * n_dup_lines > worded OR 10 * upper > 3 * letters OR 10 * lettered < 7 * n_words) AS kept
         FROM j""",
     "op5_revisit_resolution": r"""
-        WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
-                          '"' || substr(md5(html), 1, 16) || '"' AS tag FROM pages),
+        WITH x AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) ELSE url END AS url,
+                          '"' || substr(md5(CASE WHEN page_id % 2 = 0 THEN (page_id // 97)::VARCHAR ELSE html END), 1, 16) || '"' AS tag,
+                          CASE WHEN page_id % 2 = 0 THEN page_id // 97 ELSE page_id END AS dated FROM pages),
+        u AS (SELECT page_id, html, tag, dated, regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM x),
         p AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(bare, '^([^/?]*)', 1), '^.*@', ''), ':(80|443)$', '')), '^www\.', '') AS host,
                      regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
                      array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS params FROM u),
-        c AS (SELECT page_id, html, tag, host || path || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canon FROM p),
-        r AS (SELECT page_id * 2 + 1 AS record_id, page_id, canon, CASE WHEN page_id % 11 = 5 THEN page_id * 10 - 5 ELSE page_id * 10 + 5 END AS ts,
+        c AS (SELECT page_id, html, tag, dated, host || path || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canon FROM p),
+        r AS (SELECT page_id * 2 + 1 AS record_id, page_id, canon,
+                     CASE WHEN page_id % 11 = 5 THEN page_id * 10 - 5 WHEN page_id % 2 = 0 THEN page_id * 10 + 5 + 10 * (page_id % 13) ELSE page_id * 10 + 5 END AS ts,
                      CASE WHEN page_id % 7 = 3 THEN '"stale"' WHEN page_id % 7 = 4 THEN 'W/' || tag WHEN page_id % 7 < 3 THEN tag END AS own_tag,
-                     CASE WHEN page_id % 7 = 5 THEN page_id END AS modified FROM c),
-        s AS (SELECT page_id * 2 AS found, page_id AS stored_modified, page_id * 10 AS at, canon, tag, html FROM c),
+                     CASE WHEN page_id % 7 = 5 THEN dated END AS modified FROM c),
+        s AS (SELECT page_id * 2 AS found, dated AS stored_modified, page_id * 10 AS at, canon, tag, html FROM c),
         j AS (SELECT r.*, s.found, s.tag, s.stored_modified, s.html FROM r ASOF LEFT JOIN s ON r.canon = s.canon AND r.ts > s.at),
         o AS (SELECT *, CASE WHEN found IS NULL THEN 'missing' WHEN own_tag IS NULL AND modified IS NULL THEN 'unverified'
                              WHEN coalesce(CASE WHEN own_tag IS NOT NULL THEN regexp_replace(own_tag, '^W/', '') = tag ELSE modified = stored_modified END, false) THEN 'resolved'
