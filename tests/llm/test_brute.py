@@ -271,6 +271,10 @@ def test_measures_and_verdicts(documents, texts):
         upper, letters = len(re.findall("[A-Z]", t)), len(re.findall("[A-Za-z]", t))
         lettered = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", x)) for x in w)
         bad = 10 * symbols > len(w) or not 2 * len(w) <= r.word_chars <= 15 * len(w) or 2 * dup > worded or 10 * upper > 3 * letters or 10 * lettered < 7 * len(w)
+        worded_lines = [x for x in t.split("\n") if WORD.search(x)]
+        pairs = Counter(zip(w, w[1:], strict=False))
+        bad |= 10 * sum(x.strip(" \t\r\v\f")[0] in "-*•" for x in worded_lines) > 9 * worded or 10 * sum(x.rstrip(" \t\r\v\f").endswith("...") for x in worded_lines) > 3 * worded
+        bad |= 5 * max(pairs.values(), default=0) > sum(pairs.values())
         assert (r.base_failed, r.kept) == (base, not (base or bad))
 
 
@@ -286,6 +290,11 @@ def test_the_order_follows_rejections_per_cost_and_changes_no_verdict(documents)
     rules = (useless, cascade.Rule("slow", slow), cheap)
     order = cascade.plan(documents, rules)
     assert order[0] == "cheap"
+    assert cascade.plan(documents.where("false"), rules) == ["useless", "slow", "cheap"]
+    # what a rule rejects beyond those before it counts, not what it rejects alone
+    bits = np.array([0b0011, 0b0011, 0b0011, 0b0100, 0b1111, 0b1111])
+    three = tuple(cascade.Rule(n, None) for n in "abc")
+    assert cascade.ordered(three, np.array([1.0, 1.1, 1.2]), bits) == ["a", "c", "b"]
     verdicts = [{r.doc_id: r.kept for r in cascade.apply(documents, rules, order=o).collect()} for o in (order, order[::-1])]
     assert verdicts[0] == verdicts[1]
 

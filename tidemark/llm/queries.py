@@ -133,20 +133,25 @@ SQL = {
         w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
         lines AS (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
                   WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l),
-        per_line AS (SELECT doc_id, sum(n)::BIGINT AS worded, sum(n - 1)::BIGINT AS dup FROM lines GROUP BY doc_id),
+        per_line AS (SELECT doc_id, sum(n)::BIGINT AS worded, sum(n - 1)::BIGINT AS dup,
+                            coalesce(sum(n) FILTER (regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]')), 0)::BIGINT AS bullets,
+                            coalesce(sum(n) FILTER (regexp_matches(l, '[.][.][.][\x20\x09-\x0D]*$')), 0)::BIGINT AS dots FROM lines GROUP BY doc_id),
         win AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
         twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win) WHERE n > 1),
+        pairs AS (SELECT doc_id, a, b, count(*) AS n FROM (SELECT doc_id, ws[i] AS a, ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY ALL),
+        top AS (SELECT doc_id, max(n) AS most, sum(n) AS pairs FROM pairs GROUP BY doc_id),
         rep AS (SELECT doc_id, count(DISTINCT k)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
         m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
                      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-                     coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(worded, 0) AS worded,
+                     coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(worded, 0) AS worded, coalesce(bullets, 0) AS bullets, coalesce(dots, 0) AS dots, coalesce(most, 0) AS most, coalesce(pairs, 0) AS pairs,
                      length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters,
                      len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered
-              FROM w LEFT JOIN per_line USING (doc_id) LEFT JOIN rep USING (doc_id)),
+              FROM w LEFT JOIN per_line USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN top USING (doc_id)),
         j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-                    OR 2 * n_dup_lines > worded OR 10 * upper > 3 * letters OR 10 * lettered < 7 * n_words) AS kept
+                    OR 2 * n_dup_lines > worded OR 10 * upper > 3 * letters OR 10 * lettered < 7 * n_words
+                    OR 10 * bullets > 9 * worded OR 10 * dots > 3 * worded OR 5 * most > pairs) AS kept
         FROM j""",
     "op5_revisit_resolution": r"""
         WITH x AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) ELSE url END AS url,
