@@ -515,7 +515,7 @@ def test_matches_against_full_alignment(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = {i: prose(rnd.randint(4, 40)) for i in range(8)}
+    items = {i: prose(rnd.randint(4, 40)) for i in range(8)} | {8: prose(3)[:19], 9: prose(4)[:21]}
     docs, expected = [], set()
     for d in range(60):
         i = rnd.choice(list(items))

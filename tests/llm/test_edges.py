@@ -94,12 +94,13 @@ def test_ring(docs, slack):
 
 
 def test_decontamination(spark, docs):
-    bench = spark.createDataFrame([(1, "he gave each of them to a different  captain,\nand none of them asked him why."), (2, None), (3, ""), (4, "short"), (5, "he gave each of them to a different  captain,\nand none of them asked him why.")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, "he gave each of them to a different  captain,\nand none of them asked him why."), (2, None), (3, ""), (4, "short"), (6, "SHIP\n"), (7, "..."), (8, "ship had"), (5, "he gave each of them to a different  captain,\nand none of them asked him why.")], "item_id bigint, text string")
     rows = decontam.matches(docs, bench).collect()
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
     if n_of(docs):
-        assert Counter((r.doc_id, r.item_id) for r in rows) == Counter({(1, 1): 1, (2, 1): 2, (-3, 1): 1, (1, 5): 1, (2, 5): 2, (-3, 5): 1})
+        assert Counter((r.doc_id, r.item_id) for r in rows) == Counter({(1, 1): 1, (2, 1): 2, (-3, 1): 1, (1, 5): 1, (2, 5): 2, (-3, 5): 1, (1, 6): 1, (2, 6): 2, (-3, 6): 1, (1, 8): 1, (2, 8): 2, (-3, 8): 1})
+        assert {r.stop - r.start for r in rows if r.item_id == 6} == {4}
         assert kept.count() == n_of(docs) - 4
     assert decontam.matches(docs, bench.where("false")).count() == 0 and decontam.clean(docs, bench.where("false")).count() == n_of(docs)
 

@@ -1,16 +1,18 @@
 """Benchmark passages in documents, by the q-gram lemma.
 
 Texts are compared lower-cased in A-Z, with runs of white space as one blank.  A benchmark text of m bytes may match with up to
-e = ``ERROR`` * m edits.  Such a match shares at least m + 1 - Q * (e + 1) of its q-grams with the document, on diagonals (place in the
+e = ``ERROR`` * m edits, rounded down.  Such a match shares at least m + 1 - Q * (e + 1) of its q-grams with the document, on diagonals (place in the
 document minus place in the text) that differ by at most e.  Shared q-grams are counted in diagonal bands of twice e + 1 that
 overlap by half, so every match lies whole in one band.  Bands that reach the bound are verified by an alignment
-confined to the band and e beyond it.  For short texts e falls until the bound is positive; texts under Q bytes are no
-evidence and never match.  The bound is that of the whole text: a document that quotes only part of one does not match.
+confined to the band and e beyond it.  With Q = 10 and 5 % the bound is positive for every text of Q bytes or more.  Shorter texts (for which no edit is allowed either) are
+found by the hashes of the same many bytes between word boundaries, as whole words.  The bound is that of the whole text: a document that quotes only part of one
+does not match.
 
 Every document is judged by itself: no shuffle, and a passage that a third of all documents hold is only as many matches.
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (or one longer text), one scan of the documents for each.
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (or one longer text).  ``matches`` scans the documents once for each block and stores each
+block's matches once; ``clean`` passes each text through all blocks in one scan.
 
-Null texts are empty and match nothing.  Equal benchmark texts each match.  Repeated rows give repeated matches.  Empty tables on
+Null texts are empty and match nothing.  Equal benchmark texts each match; those without a word match nothing.  Repeated rows give repeated matches.  Empty tables on
 either side give no match.  Other columns are carried by ``clean`` and unread by ``matches``.
 """
 
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import cut, text_of
 from .textscan import FIRST, LOWER, SPACE, Scan, scans
 
-Q = 12
+Q = 10
 ERROR = 0.05
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 BITS = 22
 HITS = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -54,8 +56,13 @@ def grams(scan: Scan) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    """Edits allowed for a text of m bytes: the error rate, less where the q-gram bound would not be positive."""
-    return max(0, min(int(ERROR * m), m // Q - 1))
+    """Edits allowed for a text of m bytes."""
+    return int(ERROR * m)
+
+
+# bytes of letters, digits and characters beyond ASCII
+WORDY = np.zeros(256, bool)
+WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Index:
@@ -79,6 +86,14 @@ class Index:
         h, item, place = join(h, np.uint64), join(item, np.int64), join(place, np.int64)
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.place = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        # shorter texts, by length: hashes in order, and whose they are
+        self.short = {}
+        for n in range(1, Q):
+            which = [k for k, t in enumerate(self.texts) if len(t) == n and WORDY[t].any()]
+            if which:
+                hashes = np.concatenate([FIRST.segments(FIRST.prefix(self.texts[k]), np.array([0]), np.array([n])) for k in which])
+                order = np.argsort(hashes, kind="stable")
+                self.short[n] = hashes[order], np.array(which)[order]
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.h >> np.uint64(64 - BITS)] = True
 
@@ -116,9 +131,29 @@ class Index:
             s = int(self.edits[i]) + 1
             yield d, i, b * s - (1 << 40), (b + 2) * s - 1 - (1 << 40)
 
+    def brief(self, scan: Scan):
+        """(text, benchmark text, from, to) of the first place of each text under Q bytes that stands between word boundaries."""
+        if not self.short or not len(scan.data):
+            return
+        wordy = WORDY[scan.data]
+        edge = np.ones(len(wordy) + 1, bool)  # between two places: not both of a word
+        edge[1:-1] = ~(wordy[1:] & wordy[:-1])
+        edge[scan.off] = True
+        doc = np.repeat(np.arange(scan.n), np.diff(scan.off))
+        for n, (hashes, which) in self.short.items():
+            start = np.flatnonzero(edge[: max(0, len(edge) - n)] & edge[n:])
+            start = start[start + n <= scan.off[1:][doc[start]]]
+            h = FIRST.segments(scan.prefix, start, start + n)
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            for k in np.flatnonzero(high > low).tolist():
+                for i in which[low[k] : high[k]].tolist():
+                    yield int(doc[start[k]]), i, int(start[k]), int(start[k]) + n
+
     def verified(self, scan: Scan):
         """Per text and benchmark text the best match, the leftmost of the best: (text, benchmark text, edits, from, to)."""
         best = {}
+        for d, i, start, end in self.brief(scan):
+            best.setdefault((d, i), (0, start, end))
         for d, i, low, high in self.candidates(scan):
             e, text = int(self.edits[i]), self.texts[i]
             a, z = int(scan.off[d]), int(scan.off[d + 1])
@@ -181,7 +216,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *(T.StructField(x, T.LongType()) for x in ("edits", "start", "stop"))])
     source = docs.select("doc_id", text_of().alias("text"))
-    parts = []
+    parts, held = None, None
+
+    def stored(find, index):
+        part = cut(source.mapInArrow(find, schema))
+        index.destroy()
+        return part
+
     for block in blocks(benchmark):
         index = spark.sparkContext.broadcast(Index(block))
 
@@ -203,9 +244,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = [pa.array(x, pa.int64()) for x in (zip(*numbers, strict=True) if numbers else ((), (), ()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, kind), *cols], names=schema.names)
 
-        parts.append(source.mapInArrow(find, schema))
-        if len(parts) > 1:
-            parts = [cut(p) for p in parts]
+        if parts is None:
+            parts, held = [], (find, index)
+            continue
+        if held:
+            parts.append(stored(*held))
+        held = None
+        parts.append(stored(find, index))
+    if held:
+        return source.mapInArrow(held[0], schema)
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
