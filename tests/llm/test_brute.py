@@ -394,6 +394,68 @@ def test_texts_alike_but_for_counts_meet(spark):
     assert got == expected
 
 
+def test_large_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
+    """Texts of templates, most of them just below or far below the threshold, and some above it."""
+    rnd = random.Random(27)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    texts = {}
+    for t, own in ((0, 60), (1, 26), (2, 18)):
+        body = [prose(20) for _ in range(8)]
+        for i in range(40):
+            texts[100 * t + i] = "\n".join([*body, prose(own)])
+        for i in range(40, 50):  # near copies of some of them, and the text with one line many times
+            texts[100 * t + i] = texts[100 * t + i - 40] + (" some words more" if i % 2 else ("\n" + prose(10)) * 12)
+    expected = plain_classes(texts)
+    assert 1 < len(set(expected.values())) < len(texts)
+    monkeypatch.setattr(dartminhash, "BLOCK", 6)
+    sizes = []
+    real = dartminhash.narrowed
+
+    def seen(*args):
+        out = real(*args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(dartminhash, "narrowed", seen)
+    got = {r.id: r.class_id for r in dartminhash.classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == expected and sizes
+
+
+def test_recall_of_the_bands_on_both_branches():
+    """Pairs at similarity 0.8 to 0.82 of one kind and far less of the other: the share that meets in a band."""
+    rnd = random.Random(28)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    pairs = {"plain": [], "weighted": []}
+    for _ in range(500):
+        a = [word() for _ in range(104)]
+        b = [*a, *(word() for _ in range(20))]
+        line = [word() for _ in range(6)]
+        pairs["plain"].append((" ".join(a), " ".join(b[:-6] + line * 40)))
+        head = [word() for _ in range(5)] * 60  # 300 shingles, five distinct ones
+        pairs["weighted"].append((" ".join(head + [word() for _ in range(37)]), " ".join(head + [word() for _ in range(35)])))
+    for kind, some in pairs.items():
+        exact = []
+        for x, y in some:
+            p, q = shingles_of(x), shingles_of(y)
+            exact.append((len(p.keys() & q.keys()) / len(p.keys() | q.keys()), sum((p & q).values()) / sum((p | q).values())))
+        near, far = (0, 1) if kind == "plain" else (1, 0)
+        assert all(0.8 <= e[near] <= 0.85 and e[far] < 0.5 for e in exact)
+        flat = [t for pair in some for t in pair]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(flat))), pa.array(range(len(flat))), pa.array(range(len(flat))), pa.array(flat)], names=["id", "k1", "k2", "text"])
+        keys = {i: set(k) for b in dartminhash.sign([batch]) for i, k in zip(b.column("id").to_pylist(), b.column("bands").to_pylist(), strict=True)}
+        met = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(some)))
+        assert met >= 0.99 * len(some), (kind, met)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rnd = random.Random(29)
+    prose = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "y"), (7, b, "z"), (8, c, "u"), (8, c, "u"), (9, a + " more", "v")], "doc_id bigint, text string, source string")
+    assert Counter((r.id, r.class_id) for r in dartminhash.classes(docs).collect()) == Counter([(5, 5), (5, 5), (7, 5), (8, 8), (8, 8), (9, 5)])
+    assert sorted(r.text[:20] for r in dartminhash.keep_first(docs).collect()) == sorted(x[:20] for x in (a, b, c))
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = random.Random(8)
     a = {i: rnd.choice([0.5, 1, 2, 7]) for i in range(200)}

@@ -13,21 +13,28 @@ repeats the two are the same, so both kinds share one set of bands, and plain si
 Joining: equal texts first fall to one representative.  Groups of ``ROWS`` coordinates are band keys.  In a bucket of equal
 keys every member meets one centre, picked by the key (another in every band), so a bucket costs its size, not
 its square.  What passes the exact check is joined into components; only buckets that then still hold several components
-are gone through again, in blocks and without a row for each pair.  A pair at plain or
-weighted similarity 0.8 is missed in all bands with probability 0.0004.
+are gone through again, without a row for each pair:
 
-The exact check: two texts are near if the plain Jaccard similarity of their shingle sets, or the weighted one, is 0.8 or more.
+* a bucket of up to ``BLOCK`` members is one product of incidence matrices;
+* the members of larger ones (many texts from one template, say, below the threshold) are dealt anew by the prefix principle: of two texts at similarity t or more, each
+  has one of the other's among its rarest (1 - t) of shingles and one.  Rarity is counted among these members, so what the template gives them all comes last, and texts
+  that share only that meet nowhere.  Groups are those with one rare shingle; this loses no pair.
+* Only a group that is still larger (texts from one template just under the threshold) is compared in full, in blocks that are dealt over tasks of bounded rows and bytes.
 
-Documents are known by doc_id: rows that share one are one document, and a null id gives the text's own negative
-key.  Texts without a word join only with equal texts.  Ties go to the least id.  An empty table gives an
-empty result.  Extra columns aren't read.
+A pair at plain or weighted similarity 0.8 is missed in all bands with probability 0.0004; ``tests`` measure it.
+
+The exact check: two texts are near if the plain Jaccard similarity of their shingle sets, or the weighted one, is at least the threshold (0.8).
+
+Documents are known by doc_id.  A null id gives the text's own negative key, and rows that share an id but not their text are documents
+of their own, known by a negative key of both; their class is still named by the least id in it.  Texts without a word join only with equal
+texts.  Ties go to the least id.  An empty table gives an empty result.  Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, text_of
 from .textscan import SECOND, Scan, mix, scans
@@ -141,6 +148,16 @@ def similarities(a: Scan, b: Scan) -> np.ndarray:
     return np.maximum(common / np.maximum(sets - common, 1), shared / np.maximum(sums - shared, 1))
 
 
+def nodes(docs: DataFrame, *keep: str) -> DataFrame:
+    """(id, text, node, <keep>): ``node`` is the id, but a negative key of id and text where rows share an id and not their text."""
+    rows = docs.select(node().alias("__id"), text_of().alias("__words"), *keep)
+    several = cut(rows.groupBy("__id").agg(F.min(F.xxhash64("__words")).alias("low"), F.max(F.xxhash64("__words")).alias("high")).where("low < high").select(F.col("__id").alias("__several")))
+    if several.isEmpty():
+        return rows.withColumn("__node", F.col("__id"))
+    own = -F.abs(F.xxhash64(F.lit(2), "__id", "__words") % (1 << 62)) - 1
+    return rows.join(several, F.col("__id") == F.col("__several"), "left").withColumn("__node", F.when(F.col("__several").isNull(), F.col("__id")).otherwise(own)).drop("__several")
+
+
 def node(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The document's key: its id, or for a null id a negative key of its text."""
     return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.xxhash64(text_of(text)) % (1 << 62)) - 1)
@@ -165,7 +182,7 @@ def sign(batches):
             yield pa.RecordBatch.from_arrays([ids.take(at), k1.take(at), k2.take(at), lists], names=["id", "k1", "k2", "bands"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that the exact check passes."""
 
     def check(batches):
@@ -174,7 +191,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             step = max(1, int(len(b) * (1 << 20) / max(1, b.nbytes)))
             while i < len(b):  # what a slice needs is freed before the next
                 part = b.slice(i, step)
-                near.append(similarities(*(next(scans(part, c, lower=True, limit=1 << 62)) for c in ("ta", "tb"))) >= THRESHOLD)
+                near.append(similarities(*(next(scans(part, c, lower=True, limit=1 << 62)) for c in ("ta", "tb"))) >= threshold)
                 i += step
             if not near:
                 continue
@@ -186,7 +203,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def resolved(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def elements(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, element and copy number of the multiset's elements: a shingle that occurs c times gives c of them."""
+    doc, h, count = shingles(scan)
+    copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), mix(np.repeat(h, count) + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), copy
+
+
+def narrowed(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, id, root, n): groups of members (id, root) that hold every pair at the threshold or beyond, by rare shingles that both have."""
+
+    def explode(batches):
+        for b in batches:
+            ids, roots = b.column("id"), b.column("root")
+            for scan in scans(b, lower=True):
+                owner, element, copy = elements(scan)
+                every, plain = np.bincount(owner, minlength=scan.n), np.bincount(owner[copy == 0], minlength=scan.n)
+                at = pa.array(owner + scan.first)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(at), roots.take(at), pa.array(element.view(np.int64)), pa.array(copy == 0), pa.array(every[owner]), pa.array(plain[owner])],
+                    names=["id", "root", "key", "plain", "n_all", "n_plain"],
+                )
+
+    rows = members.join(texts, "id").mapInArrow(explode, "id long, root long, key long, plain boolean, n_all long, n_plain long")
+    rows = cut(rows)
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    rarest = Window.partitionBy("id").orderBy("df", "key")
+    ranked = rows.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumns({"i": F.row_number().over(rarest), "j": F.sum(F.col("plain").cast("int")).over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    reach = lambda n: F.col(n) - F.ceil(F.col(n) * F.lit(threshold) - F.lit(1e-9)) + 1
+    first = cut(ranked.where((F.col("df") > 1) & ((F.col("i") <= reach("n_all")) | (F.col("plain") & (F.col("j") <= reach("n_plain"))))).select("key", "id", "root"))
+    groups = cut(first.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    return cut(first.join(groups, "key"))
+
+
+def resolved(rest: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) that join components within buckets, rows (key, id, root, n) with n the size of the bucket.
 
     Members of a bucket are dealt into blocks of about ``BLOCK``, and two blocks meet in one place; there a product of
@@ -208,14 +259,11 @@ def resolved(rest: DataFrame, texts: DataFrame) -> DataFrame:
         place = np.unique(np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")]), axis=1, return_inverse=True)[1].ravel()
         known, first, back = np.unique(ids, return_index=True, return_inverse=True)
         once = table.take(pa.array(first)).column("text").combine_chunks()
-        elements, owner, extra = [], [], []
+        parts = []
         for scan in scans(pa.RecordBatch.from_arrays([once], names=["text"]), lower=True):
-            doc, h, count = shingles(scan)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # a shingle that occurs c times gives c elements
-            elements.append(mix(np.repeat(h, count) + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            owner.append(np.repeat(doc, count) + scan.first)
-            extra.append(step > 0)
-        elements, owner, extra = (np.concatenate(x) for x in (elements, owner, extra))
+            doc, element, copy = elements(scan)
+            parts.append((doc + scan.first, element, copy > 0))
+        owner, element, extra = (np.concatenate(x) for x in zip(*parts, strict=True))
         off = np.searchsorted(owner, np.arange(len(known) + 1))
         a, b = [], []
         order = np.argsort(place, kind="stable")
@@ -227,8 +275,8 @@ def resolved(rest: DataFrame, texts: DataFrame) -> DataFrame:
                 continue
             size = np.diff(off)[docs]
             at = np.repeat(off[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            sims = block_similarity(np.repeat(np.arange(len(docs)), size), elements[at], extra[at], len(docs))
-            i, j = np.nonzero(np.triu((sims >= THRESHOLD) & (root[:, None] != root[None, :]), 1))
+            sims = block_similarity(np.repeat(np.arange(len(docs)), size), element[at], extra[at], len(docs))
+            i, j = np.nonzero(np.triu((sims >= threshold) & (root[:, None] != root[None, :]), 1))
             parent = {}
 
             def find(x, parent=parent):
@@ -269,28 +317,60 @@ def block_similarity(owner: np.ndarray, elements: np.ndarray, extra: np.ndarray,
     return np.maximum(plain, both / np.maximum(size[:, None] + size[None, :] - both, 1)).astype(np.float64) + 1e-7
 
 
+CHUNK = 1 << 20
+
+
+def contracted(batches):
+    """Edges with the components of each ``CHUNK`` of them, and no other, as stars: at most one edge for each node of a chunk."""
+
+    def stars(low, high):
+        known, at = np.unique(np.concatenate([low, high]), return_inverse=True)
+        x, y = at[: len(low)], at[len(low) :]
+        root = np.arange(len(known))
+        while True:
+            old = root.copy()
+            least = np.minimum(root[x], root[y])
+            for side in (x, y):
+                np.minimum.at(root, root[side], least)
+                np.minimum.at(root, side, least)
+            root = root[root]
+            if (old == root).all():
+                break
+        out = np.flatnonzero(root != np.arange(len(known)))
+        return pa.RecordBatch.from_arrays([pa.array(known[out]), pa.array(known[root[out]])], names=["a", "b"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column("b").to_numpy(), b.column("a").to_numpy()))
+        n += len(b)
+        if n >= CHUNK:
+            yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node with an edge; root is the least id of its component.
 
-    Large-star and small-star steps in turn, until the edges are the stars of the components.  Minima are
+    Chunks of edges are contracted first.  Then large-star and small-star steps in turn, until the edges are the stars of the components.  Minima are
     pre-aggregated and joins can be split, so a node with very many edges is no obstacle; the lineage is cut each round.
     """
 
-    def neighbours(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-
     def shape(e: DataFrame):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
+        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.count_distinct("a").alias("d")).first()
+        return r["n"], r["s"], r["d"]
 
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+    edges = cut(edges.mapInArrow(contracted, "a long, b long").distinct())
     before = shape(edges)
     while before[0]:
-        n = neighbours(edges)
+        if before[0] == before[2] and edges.select(F.col("b").alias("a")).distinct().join(edges, "a", "left_semi").isEmpty():
+            break  # every node has one edge, to a node without a lesser one: these are stars
+        n = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         # cut, so that the joins below can be split at nodes with very many edges
         least = cut(n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = n.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = cut(large)
+        large = cut(n.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = cut(small.where("a != b").distinct())
@@ -301,39 +381,53 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root").union(edges.select("b", "b").distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(id, class_id) for each row of docs: ``class_id`` is the least id among documents linked by near or equal texts."""
-    keyed = docs.select(node().alias("id"), text_of().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+def rooted(docs: DataFrame, threshold: float) -> DataFrame:
+    """(id, node, root) of each row of docs, where rows have one root that are in one class."""
+    keyed = nodes(docs).select(F.col("__id").alias("own"), F.col("__node").alias("id"), F.col("__words").alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     groups = cut(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")))  # cut, so that the join below can be split where copies abound
-    members = cut(keyed.select("id", "k1", "k2").join(groups, ["k1", "k2"]).select("id", "rep"))
+    members = cut(keyed.select("own", "id", "k1", "k2").join(groups, ["k1", "k2"]).select("own", "id", "rep"))
     groups_of_rep = groups.withColumnRenamed("rep", "id")
-    bands = cut(keyed.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>").join(groups_of_rep, ["k1", "k2", "id"]).select(F.explode("bands").alias("key"), "id"))
+    signed = keyed.select("id", "k1", "k2", "text").mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>")
+    bands = cut(signed.join(groups_of_rep, ["k1", "k2", "id"]).select(F.explode("bands").alias("key"), "id"))
     texts = keyed.select("id", "text")
 
     buckets = bands.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("m"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets = buckets.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("centre"))
+    buckets = cut(buckets.select("key", F.col("m").bitwiseXOR(F.col("key")).alias("centre")))  # cut, so that the join can be split at keys with very many members
     crowded = cut(bands.join(buckets, "key"))
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     tried = cut(crowded.where("id != centre").select(*pair("id", "centre")).distinct())
-    links = cut(verified(tried, texts))
-    # documents with one id and several texts, or several representatives of one id, need no link: they share the node
-    roots = components(links)
+    links = cut(verified(tried, texts, threshold))
+    roots = cut(components(links))
 
     # buckets that still hold several components
     labelled = crowded.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    found = cut(resolved(cut(labelled.join(mixed, "key")), texts))
+    labelled = cut(labelled)
+    mixed = cut(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    rest = cut(labelled.join(mixed, "key"))
+    if not mixed.where(F.col("n") > BLOCK).isEmpty():
+        again = narrowed(rest.where(F.col("n") > BLOCK).select("id", "root").distinct(), texts, threshold)
+        rest = rest.where(F.col("n") <= BLOCK).unionByName(again.select(*rest.columns))
+    found = cut(resolved(rest, texts, threshold))
     if not found.isEmpty():
-        roots = components(links.union(found))
-    return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+        roots = cut(components(links.union(found)))
+    return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("own").alias("id"), F.col("id").alias("node"), F.coalesce("root", "rep").alias("root"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least id, with all its columns."""
-    found = cut(classes(docs))
-    losers = found.groupBy("id").agg(F.min("class_id").alias("class_id")).where("id != class_id").select(F.col("id").alias("__node"))
-    kept = docs.withColumn("__node", node()).join(losers, "__node", "left_anti")
-    sizes = found.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
-    if sizes["n"] != sizes["d"]:  # rows that share an id: one of them
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id) for each row of docs: ``class_id`` is the least id among documents linked by near or equal texts."""
+    found = cut(rooted(docs, threshold))
+    if found.where("id != node").isEmpty():
+        return found.select("id", F.col("root").alias("class_id"))
+    names = cut(found.groupBy("root").agg(F.min("id").alias("class_id")))
+    return found.join(names, "root").select("id", "class_id")
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class with all its columns, that of the least node: the least id, unless ids are shared by different texts."""
+    found = cut(rooted(docs, threshold))
+    losers = found.where("node != root").select(F.col("node").alias("__node")).distinct()
+    kept = nodes(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text"), "__row").join(losers, "__node", "left_anti")
+    sizes = found.agg(F.count("*").alias("n"), F.count_distinct("node").alias("d")).first()
+    if sizes["n"] != sizes["d"]:  # equal rows: one of them
         kept = kept.dropDuplicates(["__node"])
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col(f"__row.`{c}`") for c in docs.columns))
