@@ -623,47 +623,78 @@ def test_exact_passages_are_found_where_they_are(documents, benchmark, texts):
 # 10 language model
 
 
-@pytest.mark.parametrize(("hot", "slice_bytes"), [(1 << 19, 64 << 20), (300, 1 << 14)])
-def test_base_scores_and_counts(documents, texts, hot, slice_bytes):
+class PlainModel:
+    """The same probabilities from dictionaries."""
+
+    def __init__(self, texts):
+        self.c = {1: Counter(), 2: Counter(), 3: Counter()}
+        for ws in texts:
+            padded = [None, None, *ws]
+            for i in range(2, len(padded)):
+                self.c[1][padded[i]] += 1
+                self.c[2][tuple(padded[i - 1 : i + 1])] += 1
+                self.c[3][tuple(padded[i - 2 : i + 1])] += 1
+        self.n, self.v, self.texts = sum(self.c[1].values()), len(self.c[1]), self.c[1][None]
+
+    def p(self, g, h, w):
+        m2, m3 = bloomlm.MASS
+        p1 = (self.c[1][w] + 1) / (self.n + self.v + 1)
+        p2 = (self.c[2][h, w] + m2 * p1) / (self.c[1][h] + m2)
+        return (self.c[3][g, h, w] + m3 * p2) / ((self.texts if h is None else self.c[2][g, h]) + m3)
+
+    def score(self, ws):
+        padded = [None, None, *ws]
+        return sum(math.log10(self.p(*padded[i - 2 : i + 1])) for i in range(2, len(padded)))
+
+
+@pytest.mark.parametrize(("hot", "broadcast"), [(1 << 19, 1 << 30), (300, 1 << 30), (300, 0)])
+def test_scores_against_dictionaries(documents, texts, hot, broadcast):
     docs = bloomlm.held_out(documents)
-    model = bloomlm.Model(docs.where("not held_out"), hot_words=hot, slice_bytes=slice_bytes)
-    assert (len(model.slices) > 1) == (slice_bytes < 1 << 20) and len(model.hot[0]) <= hot
+    # so many bits that there are no false positives
+    model = bloomlm.Model(docs.where("not held_out"), hot_words=hot, broadcast_bytes=broadcast, route_bytes=1 << 16, bits=400)
+    assert model.fits == (broadcast > 0) and len(model.hot[0]) <= hot and (model.fits or model.per_route < model.buckets)
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
     tokens = {k: [*WORD.findall(lowered(t)), None] for k, t in texts.items()}
-    c = Counter(w for k, ws in tokens.items() if not held[k] for w in ws)
-    n, v = sum(c.values()), len(c)
-    sums = Counter()
-    for r in bloomlm.score(docs, model).collect():
+    plain = PlainModel([ws for k, ws in tokens.items() if not held[k]])
+    sums, rows = Counter(), bloomlm.score(docs, model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         ws = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(plain.c[1][w] > 0 for w in ws), plain.n)
+        assert math.isclose(r.base_score, sum(math.log10((plain.c[1][w] + 1) / (plain.n + plain.v + 1)) for w in ws), rel_tol=1e-9)
+        assert math.isclose(r.score, plain.score(ws), rel_tol=1e-9)
         sums[r.held_out, "base"] += r.base_score
         sums[r.held_out, "model"] += r.score
     assert sums[True, "model"] > sums[True, "base"] and sums[False, "model"] > sums[False, "base"]
 
 
-def test_filter_levels_never_fall_short():
+def test_probabilities_sum_to_one(texts):
+    plain = PlainModel([[*WORD.findall(lowered(t)), None] for t in texts.values()])
+    words = [*plain.c[1], "a word that never was"]
+    rnd = random.Random(10)
+    pairs = [p for p in plain.c[2] if p[1] is not None]
+    for g, h in [(None, None), *rnd.sample(pairs, 20), ("never", "seen"), ("never", "the")]:
+        assert abs(sum(plain.p(g, h, w) for w in words) - 1) < 1e-6
+
+
+def test_the_filter_of_production_size_changes_scores_little(documents, texts):
+    docs = bloomlm.held_out(documents)
+    a, b = ({r.doc_id: r for r in bloomlm.score(docs, bloomlm.Model(docs.where("not held_out"), bits=bits)).collect()} for bits in (bloomlm.BITS_PER_ENTRY, 400))
+    per = [abs(a[k].score - b[k].score) / a[k].n_tokens for k in a]
+    assert np.mean(per) < 0.01 and all(a[k].base_score == b[k].base_score for k in a)
+
+
+def test_filter_counts_never_fall_short():
     rnd = np.random.default_rng(1)
     h = rnd.integers(0, 1 << 63, 5000).astype(np.uint64)
     counts = rnd.integers(1, 5000, 5000)
-    levels = bloomlm.level_of(counts)
-    bits = 8 * math.ceil(levels.sum() * bloomlm.BITS_PER_ENTRY / 8)
-    one = bloomlm.Slice(1, 0, 1, {1: bits}, {1: bloomlm.segment(h, levels, bits)})
-    got = one.levels(1, h, np.zeros(5000, np.int64))
-    assert (got >= levels).all() and (got > levels).mean() < 0.02
-    absent = one.levels(1, rnd.integers(0, 1 << 63, 5000).astype(np.uint64), np.zeros(5000, np.int64))
-    assert (absent > 0).mean() < 0.02
-
-
-def test_pairs_seen_once_are_scored(spark):
-    words = [f"word{i}" for i in range(60)]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "doc_id bigint, text string")
-    model = bloomlm.Model(docs.where("doc_id = 1"))
-    assert {r["gram"]: r["n"] for r in model.counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()} == {1: 61, 2: 61}
-    got = {r.doc_id: r.score for r in bloomlm.score(docs, model, keep=("doc_id",)).collect()}
-    # each pair was seen once after a word seen once: nearly the whole pair weight, and none of it the other way round
-    assert got[1] > 61 * math.log10(0.9 * bloomlm.WEIGHT) > got[2] + 50
+    words = math.ceil(bloomlm.entries(counts).sum() * bloomlm.BITS_PER_ENTRY / 64)
+    one = bloomlm.Filter(1, 0, 1, {1: words})
+    one.put(1, 0, bloomlm.segment(h, counts, words).astype("<u8").tobytes())
+    got = one.counts(1, h)
+    assert (got >= counts).all() and (got > counts).mean() < 0.1
+    assert (one.counts(1, rnd.integers(0, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.02
+    assert bloomlm.quantised(np.array([0, 1, 6, 7, 1000]), 1).tolist() == [0, 1, 6, 6, 768]
 
 
 # SQL and the pipeline

@@ -1,24 +1,31 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words and word pairs.  Each distinct n-gram with count c gets a level 1 + floor(log2 c),
-and the filter holds the n-gram once for each level from 1 to that.  A worker finds a count again by
-probing level 1, 2, ... until the first that is missing; the midpoint of the level stands for the
-count.  Every word and pair of the training texts is in the filter, those seen once at level 1.
+Training counts words, pairs and triples of words; before a text stand two end tokens.  A distinct n-gram with count c has a level 1 + floor(log2 c).  The filter
+holds the n-gram once for each level from 1 to its own, and once more for each of the ``DIGITS`` binary digits after the leading one that is set.  A worker finds a
+count again by probing level 1, 2, ... until the first that is missing, then the digits; most n-grams occur once and are one entry.  With all digits (the
+default) counts of the words after a history add up to the history's own, so probabilities do, too.
+
+    p1(w) = (c(w) + 1) / (N + V + 1)                    V words and one that stands for all others
+    p2(w | h) = (c(h w) + m2 p1(w)) / (c(h) + m2)
+    p3(w | g h) = (c(g h w) + m3 p2(w | h)) / (c(g h) + m3)
+
+For every history p3 sums to 1 over the V + 1 words.  False positives of the filter (about 0.6 % of the probes for what is absent) raise single counts; a
+pair's count is held under its history's, a triple's under both of its pairs'.  ``MASS`` (m2, m3) was chosen on a seventh of sf0.1's training rows.
 
 Counting moves packed blobs instead of rows: a task reduces what it reads to distinct hashes and
 counts, cut into buckets by the hash's leading bits; a bucket's blobs meet in one group, whose size is
 held down by the number of buckets, which follows the input.  Frequent words are one entry per blob, so no
-key is hot.
+key is hot.  Nothing that occurs is left out.
 
-The filter is made in slices of whole buckets of at most ``slice_bytes``; each is broadcast alone.  With more than
-one slice, the scoring pass runs once for each, adds what it found to a column of levels, and is
-checkpointed between, so no worker or broadcast ever holds more than a slice.
+A filter of up to ``BROADCAST_BYTES`` is broadcast, and the texts are read once.  A larger one stays where its buckets are (so no worker or broadcast
+ever holds more than that), and the probes go there: each chunk of texts sends its distinct n-grams to their routes in one shuffle, the counts come back in a second one and meet the
+chunk again.  Chunks know each other by a hash of their contents.  Both ways give the same scores.
 
 Exact counts (for the add-one base model) come from two sides: words frequent enough that at most ``HOT_WORDS``
 of them can exist are broadcast; the rest join by hash.
 
 Null texts are empty and score their end token alone; equal rows score alike; an empty table gives an empty result;
-words are known by 64-bit hashes.
+words are known by 64-bit hashes.  Without training texts every word is the unknown one, and scores are 0.
 """
 
 from __future__ import annotations
@@ -33,12 +40,15 @@ from .common import cut, doc_remainder, text_of
 from .textscan import Scan, counted, mix, scans
 
 HOT_WORDS = 1 << 19
-BITS_PER_ENTRY = 10
-PROBES = 5
-SLICE_BYTES = 64 << 20
-BUCKET_BYTES = 4 << 20
+BITS_PER_ENTRY = 14
+PROBE_BITS = 5
+DIGITS = 32
+BROADCAST_BYTES = 192 << 20
+ROUTE_BYTES = 48 << 20
+BUCKET_BYTES = 2 << 20
 PENDING = 1 << 20
-WEIGHT = 0.35  # of the pair estimate against the word estimate
+MASS = (1024.0, 4.0)  # what all words share of a pair's and a triple's history
+ORDERS = (1, 2, 3)
 END = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -55,81 +65,87 @@ def tokens(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def pairs(tok: np.ndarray) -> np.ndarray:
-    """Each token with the one before it; an end token stands before the first."""
-    before = np.empty_like(tok)
-    before[:1] = END
+def grams(tok: np.ndarray) -> dict[int, np.ndarray]:
+    """By order, the n-gram that ends at each token.  An end token precedes the next text, as it does its first word's pair; a second one precedes its triple."""
+    before = np.full_like(tok, END)
     before[1:] = tok[:-1]
-    return pair_hash(before, tok)
+    pair = pair_hash(before, tok)
+    history = np.empty_like(tok)
+    history[:1] = END
+    history[1:] = pair[:-1]
+    history[before == END] = END  # the start of a text, whatever was before it
+    return {1: tok, 2: pair, 3: pair_hash(history ^ np.uint64(0x5851F42D4C957F2D), tok)}
 
 
-def pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte planes, compressed: leading bytes of sorted hashes and of small counts are alike."""
+    return pa.compress(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+def from_planes(b: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(b, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-BLOB = "gram int, bucket int, hashes binary, counts binary"
+BLOB = "gram int, bucket int, n long, hashes binary, counts binary"
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Partial counts of words (gram 1) and pairs (gram 2)."""
+    """Partial counts of words, pairs and triples."""
 
     def flush(gram, held):
         h, c = counted(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
         at = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+        rows = []
         for k in np.flatnonzero(np.diff(at)):
             part = slice(at[k], at[k + 1])
-            yield gram, int(k), h[part].astype("<u8").tobytes() if gram == 1 else pack48(h[part]), np.minimum(c[part], 0xFFFFFFFF).astype("<u4").tobytes()
+            rows.append((gram, int(k), int(at[k + 1] - at[k]), planes(h[part], "<u8"), planes(np.minimum(c[part], 0xFFFFFFFF), "<u4")))
+            if len(rows) == 256:
+                yield blobs(rows)
+                rows = []
+        if rows:
+            yield blobs(rows)
 
-    def count(batches):
-        held, size = {1: [], 2: []}, {1: 0, 2: 0}
-
-        def out(rows):
-            rows = list(rows)
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["gram", "bucket", "hashes", "counts"])
+    def blobs(rows):
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "bucket", "n", "hashes", "counts"])
 
+    def count(batches):
+        held, size = {g: [] for g in ORDERS}, dict.fromkeys(ORDERS, 0)
         for b in batches:
             for scan in scans(b, lower=True):
-                tok, _ = tokens(scan)
-                for gram, keys in ((1, tok), (2, pairs(tok))):
+                for gram, keys in grams(tokens(scan)[0]).items():
                     held[gram].append(counted(keys))
                     size[gram] += len(held[gram][-1][0])
                     if size[gram] >= PENDING:
-                        yield from out(flush(gram, held[gram]))
+                        yield from flush(gram, held[gram])
                         held[gram], size[gram] = [], 0
         for gram in held:
             if held[gram]:
-                yield from out(flush(gram, held[gram]))
+                yield from flush(gram, held[gram])
 
     return docs.select(text_of().alias("text")).mapInArrow(count, BLOB)
 
 
 def merged(blobs: DataFrame) -> DataFrame:
-    """Whole counts, one row per gram and bucket; ``entries`` counts the filter's insertions.
-
-    Words are kept with counts of 64 bits, pairs as 48 bits of hash with a level of 8 bits, which is all the filter needs.
-    """
+    """Whole counts, one row per gram and bucket; ``entries`` counts the filter's insertions."""
 
     def merge(table: pa.Table) -> pa.Table:
-        gram = table.column("gram")[0].as_py()
-        read = (lambda x: np.frombuffer(x, "<u8").astype(np.uint64)) if gram == 1 else unpack48
-        h = np.concatenate([read(x.as_py()) for x in table.column("hashes")])
-        c = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
+        sizes = table.column("n").to_pylist()
+        h = np.concatenate([from_planes(x.as_py(), "<u8", n) for x, n in zip(table.column("hashes"), sizes, strict=True)]).astype(np.uint64)
+        c = np.concatenate([from_planes(x.as_py(), "<u4", n) for x, n in zip(table.column("counts"), sizes, strict=True)])
         h, c = counted(h, c)
-        levels = level_of(c)
-        hashes, counts = (h.astype("<u8"), c.astype("<i8")) if gram == 1 else (pack48(h), levels.astype(np.uint8))
-        hist = np.bincount(np.floor(8 * np.log2(np.maximum(c, 1))).astype(int), minlength=1) if gram == 1 else np.zeros(1, int)
-        return pa.table({"gram": pa.array([gram], pa.int32()), "bucket": table.column("bucket").combine_chunks()[:1], "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "entries": pa.array([int(levels.sum())], pa.int64()), "hist": pa.array([hist.tolist()], pa.list_(pa.int64())), "hashes": pa.array([bytes(hashes)], pa.binary()), "counts": pa.array([bytes(counts)], pa.binary())})
+        hist = np.bincount(np.floor(8 * np.log2(np.maximum(c, 1))).astype(int), minlength=1)
+        return pa.table({
+            "gram": table.column("gram").combine_chunks()[:1], "bucket": table.column("bucket").combine_chunks()[:1], "n": pa.array([len(h)], pa.int64()),
+            "total": pa.array([int(c.sum())], pa.int64()), "entries": pa.array([int(entries(c).sum())], pa.int64()),
+            "hist": pa.array([hist.tolist()], pa.list_(pa.int64())), "hashes": pa.array([planes(h, "<u8")], pa.binary()), "counts": pa.array([planes(c, "<i8")], pa.binary()),
+        })
 
     return blobs.groupBy("gram", "bucket").applyInArrow(merge, "gram int, bucket int, n long, total long, entries long, hist array<long>, hashes binary, counts binary")
 
@@ -138,94 +154,110 @@ def level_of(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
 
 
-def midpoint(level: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: 1, then the middle of 2**(l-1) .. 2**l - 1; none for level 0."""
-    return np.where(level > 0, (3 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+def quantised(c: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """A count's leading binary digits; the rest is 0."""
+    low = np.maximum(level_of(c) - 1 - digits, 0)
+    return np.where(c > 0, c >> low << low, 0)
+
+
+def entries(c: np.ndarray) -> np.ndarray:
+    """How often an n-gram of each count is in the filter."""
+    return level_of(c) + np.bitwise_count(quantised(c).astype(np.uint64)).astype(np.int64) - 1
+
 
+def probe(h: np.ndarray, at: np.ndarray | int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of 64 bits within a segment where an n-gram's level (or digit, from 64 on) lies, and its bits there."""
+    a = mix(h + np.asarray(at, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.zeros(len(a), np.uint64)
+    for k in range(PROBE_BITS):
+        bits |= np.uint64(1) << (a >> np.uint64(6 * k) & np.uint64(63))
+    return ((a >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), bits
 
-def positions(h: np.ndarray, level: np.ndarray | int, probe: int, bits: int) -> np.ndarray:
-    """Where in its segment an n-gram's probe at a level lies (double hashing)."""
-    a = mix(h + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    step = (a >> np.uint64(32)) | np.uint64(1)
-    return ((a & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) % np.uint64(bits)
 
+def segment(h: np.ndarray, c: np.ndarray, words: int) -> np.ndarray:
+    """The words of one bucket."""
+    out = np.zeros(words, np.uint64)
+    c = quantised(c)
+    level = level_of(c)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        place, bits = probe(h[level >= j], j, words)
+        np.bitwise_or.at(out, place, bits)
+    for j in range(int(level.max(initial=0)) - 1):
+        place, bits = probe(h[(level - 1 > j) & (c >> j & 1 > 0)], 64 + j, words)
+        np.bitwise_or.at(out, place, bits)
+    return out
 
-def segment(h: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
-    """The bits of one bucket."""
-    out = np.zeros(bits, bool)
-    for j in range(1, int(levels.max(initial=0)) + 1):
-        at = h[levels >= j]
-        for p in range(PROBES):
-            out[positions(at, j, p, bits)] = True
-    return np.packbits(out, bitorder="little").tobytes()
 
+class Filter:
+    """Consecutive buckets of the filter: for each gram, segments of equal size, one after the other."""
 
-class Slice:
-    """Some buckets of the filter: for each gram, segments of equal size, one after the other."""
+    def __init__(self, buckets: int, low: int, high: int, words: dict[int, int]):
+        self.buckets, self.low, self.high, self.words = buckets, low, high, words
+        self.data = {g: np.zeros((high - low) * w, np.uint64) for g, w in words.items()}
 
-    def __init__(self, buckets: int, low: int, high: int, bits: dict[int, int], data: dict[int, bytes]):
-        self.buckets, self.low, self.high, self.bits, self.data = buckets, low, high, bits, data
+    def put(self, gram: int, bucket: int, seg: bytes) -> None:
+        at = (bucket - self.low) * self.words[gram]
+        self.data[gram][at : at + self.words[gram]] = np.frombuffer(seg, "<u8")
 
-    def levels(self, gram: int, h: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The level of each n-gram of this slice, by probes until one is missing; others keep what was found before."""
-        b = bucket_of(h, self.buckets)
-        at = np.flatnonzero((b >= self.low) & (b < self.high))
-        bits = self.bits[gram]
-        store = np.frombuffer(self.data[gram], np.uint8)
-        key = h[at] if gram == 1 else h[at] & np.uint64((1 << 48) - 1)
-        base = (b[at] - self.low) * (bits // 8)
-        out = found.copy()
-        out[at] = 0
-        j = 1
+    def counts(self, gram: int, h: np.ndarray) -> np.ndarray:
+        """The count of each n-gram of these buckets."""
+        data, words = self.data[gram], self.words[gram]
+        base = (bucket_of(h, self.buckets) - self.low) * words
+        level = np.zeros(len(h), np.int64)
+        at, j = np.arange(len(h)), 1
         while len(at):
-            for p in range(PROBES):
-                pos = positions(key, j, p, bits)
-                hit = (store[base + (pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                at, key, base = at[hit], key[hit], base[hit]
-            out[at] = j
+            place, bits = probe(h[at], j, words)
+            at = at[data[base[at] + place] & bits == bits]
+            level[at] = j
             j += 1
+        out = np.where(level > 0, np.int64(1) << np.maximum(level - 1, 0), 0)
+        for j in range(int(level.max(initial=0)) - 1):
+            at = np.flatnonzero((level - 1 > j) & (level - 1 - j <= DIGITS))
+            place, bits = probe(h[at], 64 + j, words)
+            out[at] += (data[base[at] + place] & bits == bits).astype(np.int64) << j
         return out
 
 
 class Model:
     """Counts of the training texts: the merged blobs (checkpointed), totals, frequent words."""
 
-    def __init__(self, docs: DataFrame, *, slice_bytes: int = SLICE_BYTES, hot_words: int = HOT_WORDS):
+    def __init__(self, docs: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, route_bytes: int = ROUTE_BYTES, hot_words: int = HOT_WORDS, bits: int = BITS_PER_ENTRY):
         self.spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
         self.buckets = max(64, math.ceil(size / BUCKET_BYTES))
         self.counts = cut(merged(packed(docs, self.buckets)))
-        sums = {r["gram"]: r for r in self.counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries"), F.max("entries").alias("most")).collect()}
+        sums = {r["gram"]: r for r in self.counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
         self.tokens = sums[1]["total"] if 1 in sums else 0
-        self.words = sums[1]["n"] if 1 in sums else 0
-        self.bits = {g: 8 * max(8, math.ceil((sums[g]["entries"] if g in sums else 0) * BITS_PER_ENTRY / self.buckets / 8)) for g in (1, 2)}
-        per_slice = max(1, slice_bytes * 8 // sum(self.bits.values()))
-        self.slices = [(k, min(self.buckets, k + per_slice)) for k in range(0, self.buckets, per_slice)]
+        self.vocabulary = sums[1]["n"] if 1 in sums else 0
+        self.words = {g: max(8, math.ceil((sums[g]["entries"] if g in sums else 0) * bits / self.buckets / 64)) for g in ORDERS}
+        per_bucket = 8 * sum(self.words.values())
+        self.size = per_bucket * self.buckets
+        self.fits = self.size <= broadcast_bytes
+        self.per_route = max(1, min(self.buckets, route_bytes // per_bucket))
         self._frequent(hot_words)
 
     def _frequent(self, most: int) -> None:
         """Words whose count is at least ``floor``, the lowest bound that at most ``most`` words reach."""
         hist = self.counts.where("gram = 1").select(F.posexplode("hist").alias("bin", "k")).groupBy("bin").agg(F.sum("k").alias("k")).collect()
-        above, self.floor = 0, float("inf")
+        above, floor = 0, float("inf")
         for r in sorted(hist, key=lambda r: -r["bin"]):
             above += r["k"]
             if above > most:
                 break
-            self.floor = 2 ** (r["bin"] / 8)
-        floor = math.ceil(self.floor) if self.floor < float("inf") else 1 << 62
-        self.floor = floor
+            floor = 2 ** (r["bin"] / 8)
+        self.floor = floor = 1 if not hist else math.ceil(floor) if floor < float("inf") else 1 << 62
 
         def pick(batches):
             for b in batches:
                 hs, cs = [], []
-                for x, y in zip(b.column("hashes"), b.column("counts"), strict=True):
-                    h, c = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<i8")
+                for x, y, n in zip(b.column("hashes"), b.column("counts"), b.column("n").to_pylist(), strict=True):
+                    h, c = from_planes(x.as_py(), "<u8", n), from_planes(y.as_py(), "<i8", n)
                     if (c >= floor).any():  # no row to the driver for other buckets
                         hs.append(h[c >= floor].tobytes())
                         cs.append(c[c >= floor].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(cs, pa.binary())], names=["hashes", "counts"])
 
-        got = self.counts.where("gram = 1").select("hashes", "counts").mapInArrow(pick, "hashes binary, counts binary").collect()
+        got = self.counts.where("gram = 1").select("n", "hashes", "counts").mapInArrow(pick, "hashes binary, counts binary").collect()
         h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["hashes"], "<u8").astype(np.uint64) for r in got)])
         c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], "<i8").astype(np.int64) for r in got)])
         order = np.argsort(h)
@@ -237,124 +269,224 @@ class Model:
 
         def rows(batches):
             for b in batches:
-                for x, y in zip(b.column("hashes"), b.column("counts"), strict=True):
-                    h, c = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<i8")
-                    keep = c < floor
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["hash", "c"])
+                for x, y, n in zip(b.column("hashes"), b.column("counts"), b.column("n").to_pylist(), strict=True):
+                    h, c = from_planes(x.as_py(), "<u8", n), from_planes(y.as_py(), "<i8", n)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[c < floor].view(np.int64)), pa.array(c[c < floor].astype(np.int64))], names=["hash", "c"])
 
-        return self.counts.where("gram = 1").select("hashes", "counts").mapInArrow(rows, "hash long, c long")
+        return self.counts.where("gram = 1").select("n", "hashes", "counts").mapInArrow(rows, "hash long, c long")
 
-    def slice(self, low: int, high: int) -> Slice:
-        """Build a slice on the workers, one segment per gram and bucket; the driver only strings its bytes together."""
-        bits = self.bits
+    def segments(self) -> DataFrame:
+        """(gram, bucket, seg): the filter's parts, made on the workers."""
+        words = self.words
 
         def build(batches):
             for b in batches:
-                segs = []
-                for g, x, y in zip(b.column("gram"), b.column("hashes"), b.column("counts"), strict=True):
-                    if g.as_py() == 1:
-                        h, levels = np.frombuffer(x.as_py(), "<u8").astype(np.uint64), level_of(np.frombuffer(y.as_py(), "<i8"))
-                    else:
-                        h, levels = unpack48(x.as_py()), np.frombuffer(y.as_py(), np.uint8)
-                    segs.append(segment(h, levels, bits[g.as_py()]))
+                cols = (b.column(c).to_pylist() for c in ("gram", "n", "hashes", "counts"))
+                segs = [segment(from_planes(h, "<u8", n).astype(np.uint64), from_planes(c, "<i8", n), words[g]).astype("<u8").tobytes() for g, n, h, c in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("gram"), b.column("bucket"), pa.array(segs, pa.binary())], names=["gram", "bucket", "seg"])
 
-        rows = self.counts.where(F.col("bucket").between(low, high - 1)).select("gram", "bucket", "hashes", "counts").mapInArrow(build, "gram int, bucket int, seg binary").toLocalIterator()
-        data = {g: bytearray((high - low) * bits[g] // 8) for g in (1, 2)}
-        for r in rows:
-            g, at = r["gram"], (r["bucket"] - low) * bits[r["gram"]] // 8
-            data[g][at : at + bits[g] // 8] = r["seg"]
-        return Slice(self.buckets, low, high, bits, {g: bytes(x) for g, x in data.items()})
+        return self.counts.select("gram", "bucket", "n", "hashes", "counts").mapInArrow(build, "gram int, bucket int, seg binary")
+
+    def whole(self) -> Filter:
+        """The filter, for a broadcast; the driver only strings its parts together, one after the other."""
+        out = Filter(self.buckets, 0, self.buckets, self.words)
+        for r in self.segments().toLocalIterator():
+            out.put(r["gram"], r["bucket"], r["seg"])
+        return out
+
+
+class Scorer:
+    """Sums of a chunk's texts from its n-grams' counts."""
+
+    def __init__(self, model: Model):
+        self.n, self.v, self.hot, self.mass = model.tokens, model.vocabulary, model.hot, MASS
+
+    def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of frequent words, and which words are such."""
+        h, c = self.hot
+        if not len(h):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(h, words), len(h) - 1)
+        known = h[at] == words
+        return np.where(known, c[at], 0), known
+
+    def __call__(self, scan: Scan, counts) -> dict[str, np.ndarray]:
+        """``counts(order, keys)`` gives what the filter says.  Per text: n_tokens, hot_known, hot_log, score, and the hashes of its other words."""
+        tok, off = tokens(scan)
+        keys = grams(tok)
+        words, back = np.unique(tok, return_inverse=True)
+        frequent, known = self.exact(words)
+        c1 = np.where(known, frequent, counts(1, words))
+        ends = float(c1[words == END][0])
+        one, two, three = c1[back].astype(float), counts(2, keys[2]).astype(float), counts(3, keys[3]).astype(float)
+        first = off[:-1]
+        after, after_pair = np.empty_like(one), np.empty_like(one)  # how often the histories occur
+        after[1:] = one[:-1]
+        after[first] = ends
+        two = np.minimum(two, np.minimum(after, one))
+        after_pair[1:] = two[:-1]
+        after_pair[first] = ends
+        three = np.minimum(three, np.minimum(after_pair, two))
+        m2, m3 = self.mass
+        p1 = (one + 1) / (self.n + self.v + 1)
+        p2 = (two + m2 * p1) / (after + m2)
+        p3 = (three + m3 * p2) / (after_pair + m3)
+        per = lambda x: np.add.reduceat(x, first)  # noqa: E731  no text is without its end token
+        odd = np.flatnonzero(~known[back])
+        doc = np.repeat(np.arange(scan.n), np.diff(off))[odd]
+        return {
+            "n_tokens": np.diff(off), "hot_known": per(known[back].astype(np.int64)), "hot_log": per(np.log10(np.where(known, frequent, 0) + 1.0)[back]), "score": per(np.log10(p3)),
+            "odd": (tok[odd], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=scan.n))])),
+        }
+
+
+SCORED = [("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_log", T.DoubleType()), ("score", T.DoubleType()), ("odd", T.BinaryType())]
+
+
+def scored_columns(found: list[dict]) -> list[pa.Array]:
+    cols = [pa.array(np.concatenate([f[k] for f in found])) for k in ("n_tokens", "hot_known", "hot_log", "score")]
+    odd = [h[off[i] : off[i + 1]].astype("<u8").tobytes() for f in found for h, off in [f["odd"]] for i in range(len(off) - 1)]
+    return [*cols, pa.array(odd, pa.binary())]
+
+
+def by_broadcast(source: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
+    shared = source.sparkSession.sparkContext.broadcast((Scorer(model), model.whole()))
+    carry = [c for c in source.columns if c != "__text"]
+
+    def run(batches):
+        scorer, table = shared.value
+        for b in batches:
+            found = [scorer(scan, table.counts) for scan in scans(b, "__text", lower=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *scored_columns(found)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
+    """As :func:`by_broadcast`, for a filter of any size: probes go to the buckets, counts come back."""
+    carry = [c for c in source.columns if c != "__text"]
+    buckets, per, words = model.buckets, model.per_route, model.words
+    letters = {1: "a", 2: "b", 3: "c"}
+    row = T.StructType([source.schema[c] for c in carry])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    row_type = to_arrow_type(row)
+
+    def name_of(scan: Scan) -> tuple[int, int]:
+        h = mix(np.concatenate([scan.prefix, scan.off.astype(np.uint64)]))
+        at = np.arange(1, len(h) + 1, dtype=np.uint64)
+        return int(np.sum(mix(h ^ at)).astype(np.int64)), int(np.sum(mix(h + at * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64))
+
+    def distinct(scan: Scan) -> dict[int, np.ndarray]:
+        return {g: np.unique(k) for g, k in grams(tokens(scan)[0]).items()}
+
+    def ask(batches):
+        for b in batches:
+            for scan in scans(b, "__text", lower=True):
+                name, keys = name_of(scan), distinct(scan)
+                cuts = {g: np.searchsorted(bucket_of(k, buckets) // per, np.arange(-(-buckets // per) + 1)) for g, k in keys.items()}
+                parts = [(r, *(cuts[g][r + 1] - cuts[g][r] for g in ORDERS), *(planes(keys[g][cuts[g][r] : cuts[g][r + 1]], "<u8") for g in ORDERS)) for r in range(-(-buckets // per))]
+                parts = [p for p in parts if any(p[1:4])]
+                r, na, nb, nc, *blobs = zip(*parts, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r, pa.int32()), pa.array([1] * len(r), pa.int32()), *(pa.array([x] * len(r), pa.int64()) for x in name), *(pa.array(x, pa.int64()) for x in (na, nb, nc)), *(pa.array(x, pa.binary()) for x in blobs)],
+                    names=["route", "kind", "u1", "u2", "na", "nb", "nc", "a", "b", "c"],
+                )
+
+    asked = source.select("__text").mapInArrow(ask, "route int, kind int, u1 long, u2 long, na long, nb long, nc long, a binary, b binary, c binary")
+    none = F.lit(None).cast("binary")
+    stored = model.segments().select((F.col("bucket") / per).cast("int").alias("route"), F.lit(0).alias("kind"), F.col("gram").cast("long").alias("u1"), F.col("bucket").cast("long").alias("u2"), *(F.lit(0).cast("long").alias(x) for x in ("na", "nb", "nc")), F.col("seg").alias("a"), none.alias("b"), none.alias("c"))
+
+    def answer(batches):
+        current, table = None, None
+        for b in batches:
+            out = []
+            for route, kind, u1, u2, na, nb, nc, *blobs in zip(*(b.column(c).to_pylist() for c in ("route", "kind", "u1", "u2", "na", "nb", "nc", "a", "b", "c")), strict=True):
+                if route != current:
+                    current, table = route, Filter(buckets, route * per, min(buckets, (route + 1) * per), words)
+                if kind == 0:
+                    table.put(u1, u2, blobs[0])
+                else:
+                    found = [table.counts(g, from_planes(x, "<u8", n).astype(np.uint64)) for g, x, n in zip(ORDERS, blobs, (na, nb, nc), strict=True)]
+                    out.append((u1, u2, route, *(planes(np.minimum(c, 0xFFFFFFFFFF), "<i8") for c in found), *map(len, found)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.binary(),) * 3, *(pa.int64(),) * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u1", "u2", "route", "a", "b", "c", "na", "nb", "nc"])
+
+    probes = asked.unionByName(stored).repartition("route").sortWithinPartitions("route", "kind")
+    answers = probes.mapInArrow(answer, "u1 long, u2 long, route int, a binary, b binary, c binary, na long, nb long, nc long").withColumn("rows", F.lit(None).cast(T.ArrayType(row)))
+
+    def frame(batches):
+        for b in batches:
+            for scan in scans(b, "__text", lower=True):
+                rows = pa.StructArray.from_arrays([b.column(c).slice(scan.first, scan.n) for c in carry], fields=list(row_type))
+                lists = pa.ListArray.from_arrays(pa.array([0, scan.n], pa.int32()), rows)
+                u1, u2 = name_of(scan)
+                one = lambda x, k: pa.array([x], k)
+                yield pa.RecordBatch.from_arrays(
+                    [one(u1, pa.int64()), one(u2, pa.int64()), one(1 << 30, pa.int32()), one(scan.data.tobytes(), pa.binary()), one(scan.off.astype("<i8").tobytes(), pa.binary()), one(None, pa.binary()), *(one(0, pa.int64()),) * 3, lists],
+                    names=["u1", "u2", "route", "a", "b", "c", "na", "nb", "nc", "rows"],
+                )
+
+    frames = source.mapInArrow(frame, answers.schema)
+    scorer = source.sparkSession.sparkContext.broadcast(Scorer(model))
+
+    def meet(batches):
+        current, got = None, {}
+        for b in batches:
+            for i in range(len(b)):
+                r = {c: b.column(c)[i] for c in ("u1", "u2", "route", "a", "b", "c", "na", "nb", "nc")}
+                name = r["u1"].as_py(), r["u2"].as_py()
+                if name != current:
+                    current, got = name, {}
+                if r["route"].as_py() < 1 << 30:  # equal chunks asked alike
+                    got[r["route"].as_py()] = {g: from_planes(r[x].as_py(), "<i8", r[f"n{x}"].as_py()) for g, x in letters.items()}
+                    continue
+                scan = Scan(np.frombuffer(r["a"].as_py(), np.uint8), np.frombuffer(r["b"].as_py(), "<i8").astype(np.int64))
+                keys = distinct(scan)
+                known = {g: np.concatenate([got[k][g] for k in sorted(got)]) for g in ORDERS}
+                if any(len(known[g]) != len(keys[g]) for g in ORDERS):
+                    raise ValueError("the texts were not read alike twice")
+                found = scorer.value(scan, lambda g, k, known=known, keys=keys: known[g][np.searchsorted(keys[g], k)])
+                rows = b.column("rows").slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), *scored_columns([found])], names=schema.names)
+
+    return answers.unionByName(frames).repartition("u1", "u2").sortWithinPartitions("u1", "u2", "route").mapInArrow(meet, schema)
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id", "held_out")) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    hot = sc.broadcast(model.hot)
-    n, v, floor = model.tokens, model.words, model.floor
-    source = docs.select(*keep, text_of().alias("__text")).withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), "__text"), "__levels": F.lit(None).cast("binary")})
-
-    def scored(part, last):
-        def run(batches):
-            table, (hot_h, hot_c) = part.value, hot.value
-            for b in batches:
-                old, old_off = (b.column("__levels"), None)
-                cols, levels = [], []
-                for scan in scans(b, "__text", lower=True):
-                    tok, off = tokens(scan)
-                    if old.null_count:
-                        found = np.zeros((2, len(tok)), np.int64)
-                    else:
-                        found = np.concatenate([np.frombuffer(old[scan.first + i].as_py(), np.uint8).reshape(2, -1) for i in range(scan.n)], axis=1).astype(np.int64)
-                    before = np.empty_like(tok)
-                    before[:1], before[1:] = END, tok[:-1]
-                    for g, keys in ((1, tok), (2, pair_hash(before, tok))):
-                        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-                        found[g - 1] = table.levels(g, distinct, found[g - 1][first])[back]
-                        if g == 1:
-                            words, back1 = distinct, back
-                    if not last:
-                        levels.extend(found[:, off[i] : off[i + 1]].astype(np.uint8).tobytes() for i in range(scan.n))
-                        continue
-                    # the exact counts of frequent words
-                    at = np.minimum(np.searchsorted(hot_h, words), max(0, len(hot_h) - 1))
-                    exact = np.where(hot_h[at] == words, hot_c[at], 0)[back1] if len(hot_h) else np.zeros(len(tok), np.int64)
-                    per = lambda x, off=off: np.add.reduceat(x, off[:-1])  # noqa: E731  no text is without its end token
-                    one, two = midpoint(found[0]), midpoint(found[1])
-                    history = np.empty_like(one)
-                    history[1:] = one[:-1]
-                    ends = one[tok == END]
-                    history[off[:-1]] = ends[0] if len(ends) else 0.0
-                    p1 = (one + 1) / (n + v + 1)
-                    p2 = np.minimum(two / np.maximum(history, 1), 1.0)
-                    p = np.where(history > 0, WEIGHT * p2 + (1 - WEIGHT) * p1, p1)
-                    cols.append([per(np.ones(len(tok), np.int64)), per((exact > 0).astype(np.int64)), per(np.log10(exact + 1.0)), per(np.log10(p))])
-                carried = [b.column(c) for c in carry]
-                if last:
-                    if cols:
-                        yield pa.RecordBatch.from_arrays([*carried, *(pa.array(np.concatenate([c[k] for c in cols])) for k in range(4))], names=[*carry, "n_tokens", "hot_known", "hot_log", "score"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*carried, b.column("__text"), pa.array(levels, pa.binary())], names=[*carry, "__text", "__levels"])
-
-        return run
-
-    carry = [*keep, "__k1", "__k2"]
-    fields = [docs.schema[c] for c in keep] + [T.StructField(x, T.LongType()) for x in ("__k1", "__k2")]
-    for k, (low, high) in enumerate(model.slices):
-        part = sc.broadcast(model.slice(low, high))
-        last = k == len(model.slices) - 1
-        if last:
-            fields += [T.StructField("n_tokens", T.LongType()), T.StructField("hot_known", T.LongType()), T.StructField("hot_log", T.DoubleType()), T.StructField("score", T.DoubleType())]
-            source = source.mapInArrow(scored(part, True), T.StructType(fields))
-        else:
-            source = cut(source.mapInArrow(scored(part, False), T.StructType([*fields, T.StructField("__text", T.StringType()), T.StructField("__levels", T.BinaryType())])))
-            part.destroy()
+    source = docs.select(*keep, text_of().alias("__text")).withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), "__text")})
+    schema = T.StructType([*(source.schema[c] for c in source.columns if c != "__text"), *(T.StructField(f"__{n}", k) for n, k in SCORED)])
+    n, v = model.tokens, model.vocabulary
+    found = (by_broadcast if model.fits else by_routes)(source, model, schema)
+    unit = F.lit(math.log10(n + v + 1))
+    if model.floor <= 1:  # all words are frequent ones; what isn't among them is unknown
+        return found.select(*keep, F.col("__n_tokens").alias("n_tokens"), F.col("__hot_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("__hot_log") - F.col("__n_tokens") * unit).alias("base_score"), F.col("__score").alias("score"))
+    found = cut(found)
 
     def unusual(batches):
         """The words of each text that aren't frequent: key of the text, hash, how often."""
-        hot_h, _ = hot.value
         for b in batches:
             k1, k2 = (b.column(c).to_numpy() for c in ("__k1", "__k2"))
-            for scan in scans(b, "__text", lower=True):
-                tok, off = tokens(scan)
-                at = np.minimum(np.searchsorted(hot_h, tok), max(0, len(hot_h) - 1))
-                rows = np.flatnonzero(hot_h[at] != tok) if len(hot_h) else np.arange(len(tok))
-                doc = np.repeat(np.arange(scan.n), np.diff(off))[rows] + scan.first
-                yield pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), pa.array(tok[rows].view(np.int64))], names=["__k1", "__k2", "hash"])
-
-    if floor <= 1:
-        return source.select(*keep, "n_tokens", F.col("hot_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("hot_log") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), "score")
-    keyed = docs.select(text_of().alias("__text")).withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), "__text")})
-    odd = keyed.mapInArrow(unusual, "__k1 long, __k2 long, hash long")
+            lists = b.column("__odd").to_pylist()
+            h = np.frombuffer(b"".join(lists), "<i8")
+            doc = np.repeat(np.arange(len(b)), [len(x) // 8 for x in lists])
+            for low in range(0, len(h), 1 << 17):
+                at = doc[low : low + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(h[low : low + (1 << 17)])], names=["__k1", "__k2", "hash"])
+
+    odd = found.select("__k1", "__k2", "__odd").mapInArrow(unusual, "__k1 long, __k2 long, hash long")
     sums = odd.join(model.rare(), "hash").groupBy("__k1", "__k2").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_known"))
-    copies = keyed.groupBy("__k1", "__k2").agg(F.count("*").alias("copies"))
-    sums = sums.join(copies, ["__k1", "__k2"])
-    return source.join(sums, ["__k1", "__k2"], "left").select(
-        *keep, "n_tokens",
-        (F.col("hot_known") + F.coalesce(F.expr("rare_known div copies"), F.lit(0))).cast("long").alias("n_known"),
+    copies = found.groupBy("__k1", "__k2").agg(F.count("*").alias("copies"))
+    sums = cut(sums.join(copies, ["__k1", "__k2"]))
+    return found.drop("__odd").join(sums, ["__k1", "__k2"], "left").select(
+        *keep, F.col("__n_tokens").alias("n_tokens"),
+        (F.col("__hot_known") + F.coalesce(F.expr("rare_known div copies"), F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("hot_log") + F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        "score",
+        (F.col("__hot_log") + F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0)) - F.col("__n_tokens") * unit).alias("base_score"),
+        F.col("__score").alias("score"),
     )
 
 
