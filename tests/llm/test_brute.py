@@ -626,7 +626,8 @@ def test_exact_passages_are_found_where_they_are(documents, benchmark, texts):
 class PlainModel:
     """The same probabilities from dictionaries."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order):
+        self.order = order
         self.c = {1: Counter(), 2: Counter(), 3: Counter()}
         for ws in texts:
             padded = [None, None, *ws]
@@ -640,6 +641,8 @@ class PlainModel:
         m2, m3 = bloomlm.MASS
         p1 = (self.c[1][w] + 1) / (self.n + self.v + 1)
         p2 = (self.c[2][h, w] + m2 * p1) / (self.c[1][h] + m2)
+        if self.order == 2:
+            return p2
         return (self.c[3][g, h, w] + m3 * p2) / ((self.texts if h is None else self.c[2][g, h]) + m3)
 
     def score(self, ws):
@@ -647,15 +650,15 @@ class PlainModel:
         return sum(math.log10(self.p(*padded[i - 2 : i + 1])) for i in range(2, len(padded)))
 
 
-@pytest.mark.parametrize(("hot", "broadcast"), [(1 << 19, 1 << 30), (300, 1 << 30), (300, 0)])
-def test_scores_against_dictionaries(documents, texts, hot, broadcast):
+@pytest.mark.parametrize(("order", "hot", "broadcast"), [(2, 1 << 19, 1 << 30), (2, 300, 1 << 30), (2, 300, 0), (3, 1 << 19, 1 << 30), (3, 300, 0)])
+def test_scores_against_dictionaries(documents, texts, order, hot, broadcast):
     docs = bloomlm.held_out(documents)
     # so many bits that there are no false positives
-    model = bloomlm.Model(docs.where("not held_out"), hot_words=hot, broadcast_bytes=broadcast, route_bytes=1 << 16, bits=400)
+    model = bloomlm.Model(docs.where("not held_out"), hot_words=hot, broadcast_bytes=broadcast, route_bytes=1 << 16, bits=400, order=order)
     assert model.fits == (broadcast > 0) and len(model.hot[0]) <= hot and (model.fits or model.per_route < model.buckets)
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
     tokens = {k: [*WORD.findall(lowered(t)), None] for k, t in texts.items()}
-    plain = PlainModel([ws for k, ws in tokens.items() if not held[k]])
+    plain = PlainModel([ws for k, ws in tokens.items() if not held[k]], order)
     sums, rows = Counter(), bloomlm.score(docs, model).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -668,8 +671,9 @@ def test_scores_against_dictionaries(documents, texts, hot, broadcast):
     assert sums[True, "model"] > sums[True, "base"] and sums[False, "model"] > sums[False, "base"]
 
 
-def test_probabilities_sum_to_one(texts):
-    plain = PlainModel([[*WORD.findall(lowered(t)), None] for t in texts.values()])
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(texts, order):
+    plain = PlainModel([[*WORD.findall(lowered(t)), None] for t in texts.values()], order)
     words = [*plain.c[1], "a word that never was"]
     rnd = random.Random(10)
     pairs = [p for p in plain.c[2] if p[1] is not None]

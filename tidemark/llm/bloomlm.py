@@ -1,16 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words, pairs and triples of words; before a text stand two end tokens.  A distinct n-gram with count c has a level 1 + floor(log2 c).  The filter
-holds the n-gram once for each level from 1 to its own, and once more for each of the ``DIGITS`` binary digits after the leading one that is set.  A worker finds a
-count again by probing level 1, 2, ... until the first that is missing, then the digits; most n-grams occur once and are one entry.  With all digits (the
-default) counts of the words after a history add up to the history's own, so probabilities do, too.
+Training counts words and pairs of words (and triples, if the order is 3); an end token stands before a text.  A distinct n-gram with count c has a level
+1 + floor(log2 c).  The filter holds the n-gram once for each level from 1 to its own, and once more for each of the ``DIGITS`` binary digits after the leading one
+that is set.  A worker finds a count again by probing level 1, 2, ... until the first that is missing, then the digits; most n-grams occur once and are one entry.
+With all digits (the default) counts of the words after a history add up to the history's own, so probabilities do, too.
 
     p1(w) = (c(w) + 1) / (N + V + 1)                    V words and one that stands for all others
     p2(w | h) = (c(h w) + m2 p1(w)) / (c(h) + m2)
     p3(w | g h) = (c(g h w) + m3 p2(w | h)) / (c(g h) + m3)
 
-For every history p3 sums to 1 over the V + 1 words.  False positives of the filter (about 0.6 % of the probes for what is absent) raise single counts; a
-pair's count is held under its history's, a triple's under both of its pairs'.  ``MASS`` (m2, m3) was chosen on a seventh of sf0.1's training rows.
+For every history these sum to 1 over the V + 1 words.  False positives of the filter (about one in a hundred probes for what is absent) raise single counts; a
+pair's count is held under its words', a triple's under its pairs'.  ``MASS`` (m2, m3) was chosen on a seventh of sf0.1's training rows.
 
 Counting moves packed blobs instead of rows: a task reduces what it reads to distinct hashes and
 counts, cut into buckets by the hash's leading bits; a bucket's blobs meet in one group, whose size is
@@ -40,15 +40,15 @@ from .common import cut, doc_remainder, text_of
 from .textscan import Scan, counted, mix, scans
 
 HOT_WORDS = 1 << 19
-BITS_PER_ENTRY = 14
+BITS_PER_ENTRY = 12
 PROBE_BITS = 5
 DIGITS = 32
-BROADCAST_BYTES = 192 << 20
+BROADCAST_BYTES = 160 << 20
 ROUTE_BYTES = 48 << 20
 BUCKET_BYTES = 2 << 20
 PENDING = 1 << 20
 MASS = (1024.0, 4.0)  # what all words share of a pair's and a triple's history
-ORDERS = (1, 2, 3)
+ORDER = 2
 END = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -65,11 +65,13 @@ def tokens(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def grams(tok: np.ndarray) -> dict[int, np.ndarray]:
-    """By order, the n-gram that ends at each token.  An end token precedes the next text, as it does its first word's pair; a second one precedes its triple."""
+def grams(tok: np.ndarray, order: int = ORDER) -> dict[int, np.ndarray]:
+    """By order up to the given one, the n-gram that ends at each token.  An end token precedes the next text, as it does its first word's pair; a second one precedes its triple."""
     before = np.full_like(tok, END)
     before[1:] = tok[:-1]
     pair = pair_hash(before, tok)
+    if order < 3:
+        return {1: tok, 2: pair}
     history = np.empty_like(tok)
     history[:1] = END
     history[1:] = pair[:-1]
@@ -95,8 +97,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 BLOB = "gram int, bucket int, n long, hashes binary, counts binary"
 
 
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Partial counts of words, pairs and triples."""
+def packed(docs: DataFrame, buckets: int, order: int = ORDER) -> DataFrame:
+    """Partial counts of n-grams up to the order."""
 
     def flush(gram, held):
         h, c = counted(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
@@ -116,10 +118,10 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "bucket", "n", "hashes", "counts"])
 
     def count(batches):
-        held, size = {g: [] for g in ORDERS}, dict.fromkeys(ORDERS, 0)
+        held, size = {g: [] for g in range(1, order + 1)}, dict.fromkeys(range(1, order + 1), 0)
         for b in batches:
             for scan in scans(b, lower=True):
-                for gram, keys in grams(tokens(scan)[0]).items():
+                for gram, keys in grams(tokens(scan)[0], order).items():
                     held[gram].append(counted(keys))
                     size[gram] += len(held[gram][-1][0])
                     if size[gram] >= PENDING:
@@ -176,16 +178,16 @@ def probe(h: np.ndarray, at: np.ndarray | int, words: int) -> tuple[np.ndarray,
 
 def segment(h: np.ndarray, c: np.ndarray, words: int) -> np.ndarray:
     """The words of one bucket."""
-    out = np.zeros(words, np.uint64)
+    out = np.zeros(64 * words, bool)
     c = quantised(c)
     level = level_of(c)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        place, bits = probe(h[level >= j], j, words)
-        np.bitwise_or.at(out, place, bits)
-    for j in range(int(level.max(initial=0)) - 1):
-        place, bits = probe(h[(level - 1 > j) & (c >> j & 1 > 0)], 64 + j, words)
-        np.bitwise_or.at(out, place, bits)
-    return out
+    top = int(level.max(initial=0))
+    for j, rows in [*((j, level >= j) for j in range(1, top + 1)), *((64 + j, (level - 1 > j) & (c >> j & 1 > 0)) for j in range(top - 1))]:
+        a = mix(h[rows] + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        base = ((a >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64) * 64
+        for k in range(PROBE_BITS):
+            out[base + (a >> np.uint64(6 * k) & np.uint64(63)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view("<u8")
 
 
 class Filter:
@@ -221,15 +223,17 @@ class Filter:
 class Model:
     """Counts of the training texts: the merged blobs (checkpointed), totals, frequent words."""
 
-    def __init__(self, docs: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, route_bytes: int = ROUTE_BYTES, hot_words: int = HOT_WORDS, bits: int = BITS_PER_ENTRY):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, route_bytes: int = ROUTE_BYTES, hot_words: int = HOT_WORDS, bits: int = BITS_PER_ENTRY, order: int = ORDER):
+        if order not in (2, 3):
+            raise ValueError("the order is 2 or 3")
+        self.spark, self.order = docs.sparkSession, order
         size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
         self.buckets = max(64, math.ceil(size / BUCKET_BYTES))
-        self.counts = cut(merged(packed(docs, self.buckets)))
+        self.counts = cut(merged(packed(docs, self.buckets, order)))
         sums = {r["gram"]: r for r in self.counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
         self.tokens = sums[1]["total"] if 1 in sums else 0
         self.vocabulary = sums[1]["n"] if 1 in sums else 0
-        self.words = {g: max(8, math.ceil((sums[g]["entries"] if g in sums else 0) * bits / self.buckets / 64)) for g in ORDERS}
+        self.words = {g: max(8, math.ceil((sums[g]["entries"] if g in sums else 0) * bits / self.buckets / 64)) for g in range(1, order + 1)}
         per_bucket = 8 * sum(self.words.values())
         self.size = per_bucket * self.buckets
         self.fits = self.size <= broadcast_bytes
@@ -299,7 +303,7 @@ class Scorer:
     """Sums of a chunk's texts from its n-grams' counts."""
 
     def __init__(self, model: Model):
-        self.n, self.v, self.hot, self.mass = model.tokens, model.vocabulary, model.hot, MASS
+        self.n, self.v, self.hot, self.mass, self.order = model.tokens, model.vocabulary, model.hot, MASS, model.order
 
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of frequent words, and which words are such."""
@@ -313,29 +317,30 @@ class Scorer:
     def __call__(self, scan: Scan, counts) -> dict[str, np.ndarray]:
         """``counts(order, keys)`` gives what the filter says.  Per text: n_tokens, hot_known, hot_log, score, and the hashes of its other words."""
         tok, off = tokens(scan)
-        keys = grams(tok)
+        keys = grams(tok, self.order)
         words, back = np.unique(tok, return_inverse=True)
         frequent, known = self.exact(words)
         c1 = np.where(known, frequent, counts(1, words))
         ends = float(c1[words == END][0])
-        one, two, three = c1[back].astype(float), counts(2, keys[2]).astype(float), counts(3, keys[3]).astype(float)
+        one, two = c1[back].astype(float), counts(2, keys[2]).astype(float)
         first = off[:-1]
-        after, after_pair = np.empty_like(one), np.empty_like(one)  # how often the histories occur
+        after = np.empty_like(one)  # how often the history occurs
         after[1:] = one[:-1]
         after[first] = ends
         two = np.minimum(two, np.minimum(after, one))
-        after_pair[1:] = two[:-1]
-        after_pair[first] = ends
-        three = np.minimum(three, np.minimum(after_pair, two))
         m2, m3 = self.mass
-        p1 = (one + 1) / (self.n + self.v + 1)
-        p2 = (two + m2 * p1) / (after + m2)
-        p3 = (three + m3 * p2) / (after_pair + m3)
+        p = (one + 1) / (self.n + self.v + 1)
+        p = (two + m2 * p) / (after + m2)
+        if self.order > 2:
+            after[1:] = two[:-1]
+            after[first] = ends
+            three = np.minimum(counts(3, keys[3]).astype(float), np.minimum(after, two))
+            p = (three + m3 * p) / (after + m3)
         per = lambda x: np.add.reduceat(x, first)  # noqa: E731  no text is without its end token
         odd = np.flatnonzero(~known[back])
         doc = np.repeat(np.arange(scan.n), np.diff(off))[odd]
         return {
-            "n_tokens": np.diff(off), "hot_known": per(known[back].astype(np.int64)), "hot_log": per(np.log10(np.where(known, frequent, 0) + 1.0)[back]), "score": per(np.log10(p3)),
+            "n_tokens": np.diff(off), "hot_known": per(known[back].astype(np.int64)), "hot_log": per(np.log10(np.where(known, frequent, 0) + 1.0)[back]), "score": per(np.log10(p)),
             "odd": (tok[odd], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=scan.n))])),
         }
 
@@ -366,8 +371,11 @@ def by_broadcast(source: DataFrame, model: Model, schema: T.StructType) -> DataF
 def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
     """As :func:`by_broadcast`, for a filter of any size: probes go to the buckets, counts come back."""
     carry = [c for c in source.columns if c != "__text"]
-    buckets, per, words = model.buckets, model.per_route, model.words
-    letters = {1: "a", 2: "b", 3: "c"}
+    buckets, per, words, order = model.buckets, model.per_route, model.words, model.order
+    letters = dict(zip(range(1, order + 1), "abc", strict=False))
+    some = list(letters.values())
+    sizes = [f"n{x}" for x in some]
+    binary, whole = (lambda names: ", ".join(f"{x} binary" for x in names)), (lambda names: ", ".join(f"{x} long" for x in names))
     row = T.StructType([source.schema[c] for c in carry])
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -379,43 +387,41 @@ def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFram
         return int(np.sum(mix(h ^ at)).astype(np.int64)), int(np.sum(mix(h + at * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64))
 
     def distinct(scan: Scan) -> dict[int, np.ndarray]:
-        return {g: np.unique(k) for g, k in grams(tokens(scan)[0]).items()}
+        return {g: np.unique(k) for g, k in grams(tokens(scan)[0], order).items()}
 
     def ask(batches):
         for b in batches:
             for scan in scans(b, "__text", lower=True):
                 name, keys = name_of(scan), distinct(scan)
                 cuts = {g: np.searchsorted(bucket_of(k, buckets) // per, np.arange(-(-buckets // per) + 1)) for g, k in keys.items()}
-                parts = [(r, *(cuts[g][r + 1] - cuts[g][r] for g in ORDERS), *(planes(keys[g][cuts[g][r] : cuts[g][r + 1]], "<u8") for g in ORDERS)) for r in range(-(-buckets // per))]
-                parts = [p for p in parts if any(p[1:4])]
-                r, na, nb, nc, *blobs = zip(*parts, strict=True)
+                parts = [(r, *(cuts[g][r + 1] - cuts[g][r] for g in letters), *(planes(keys[g][cuts[g][r] : cuts[g][r + 1]], "<u8") for g in letters)) for r in range(-(-buckets // per))]
+                r, *blobs = zip(*(p for p in parts if any(p[1 : order + 1])), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r, pa.int32()), pa.array([1] * len(r), pa.int32()), *(pa.array([x] * len(r), pa.int64()) for x in name), *(pa.array(x, pa.int64()) for x in (na, nb, nc)), *(pa.array(x, pa.binary()) for x in blobs)],
-                    names=["route", "kind", "u1", "u2", "na", "nb", "nc", "a", "b", "c"],
+                    [pa.array(r, pa.int32()), pa.array([1] * len(r), pa.int32()), *(pa.array([x] * len(r), pa.int64()) for x in name), *(pa.array(x, pa.int64()) for x in blobs[:order]), *(pa.array(x, pa.binary()) for x in blobs[order:])],
+                    names=["route", "kind", "u1", "u2", *sizes, *some],
                 )
 
-    asked = source.select("__text").mapInArrow(ask, "route int, kind int, u1 long, u2 long, na long, nb long, nc long, a binary, b binary, c binary")
-    none = F.lit(None).cast("binary")
-    stored = model.segments().select((F.col("bucket") / per).cast("int").alias("route"), F.lit(0).alias("kind"), F.col("gram").cast("long").alias("u1"), F.col("bucket").cast("long").alias("u2"), *(F.lit(0).cast("long").alias(x) for x in ("na", "nb", "nc")), F.col("seg").alias("a"), none.alias("b"), none.alias("c"))
+    asked = source.select("__text").mapInArrow(ask, f"route int, kind int, u1 long, u2 long, {whole(sizes)}, {binary(some)}")
+    stored = model.segments().select((F.col("bucket") / per).cast("int").alias("route"), F.lit(0).alias("kind"), F.col("gram").cast("long").alias("u1"), F.col("bucket").cast("long").alias("u2"), *(F.lit(0).cast("long").alias(x) for x in sizes), F.col("seg").alias("a"), *(F.lit(None).cast("binary").alias(x) for x in some[1:]))
 
     def answer(batches):
         current, table = None, None
         for b in batches:
             out = []
-            for route, kind, u1, u2, na, nb, nc, *blobs in zip(*(b.column(c).to_pylist() for c in ("route", "kind", "u1", "u2", "na", "nb", "nc", "a", "b", "c")), strict=True):
+            for route, kind, u1, u2, *blobs in zip(*(b.column(c).to_pylist() for c in ("route", "kind", "u1", "u2", *sizes, *some)), strict=True):
                 if route != current:
                     current, table = route, Filter(buckets, route * per, min(buckets, (route + 1) * per), words)
                 if kind == 0:
-                    table.put(u1, u2, blobs[0])
+                    table.put(u1, u2, blobs[order])
                 else:
-                    found = [table.counts(g, from_planes(x, "<u8", n).astype(np.uint64)) for g, x, n in zip(ORDERS, blobs, (na, nb, nc), strict=True)]
-                    out.append((u1, u2, route, *(planes(np.minimum(c, 0xFFFFFFFFFF), "<i8") for c in found), *map(len, found)))
+                    found = [table.counts(g, from_planes(x, "<u8", n).astype(np.uint64)) for g, n, x in zip(letters, blobs[:order], blobs[order:], strict=True)]
+                    out.append((u1, u2, route, *(planes(c, "<i8") for c in found), *map(len, found)))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.binary(),) * 3, *(pa.int64(),) * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u1", "u2", "route", "a", "b", "c", "na", "nb", "nc"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.binary(),) * order, *(pa.int64(),) * order)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u1", "u2", "route", *some, *sizes])
 
     probes = asked.unionByName(stored).repartition("route").sortWithinPartitions("route", "kind")
-    answers = probes.mapInArrow(answer, "u1 long, u2 long, route int, a binary, b binary, c binary, na long, nb long, nc long").withColumn("rows", F.lit(None).cast(T.ArrayType(row)))
+    answers = probes.mapInArrow(answer, f"u1 long, u2 long, route int, {binary(some)}, {whole(sizes)}").withColumn("rows", F.lit(None).cast(T.ArrayType(row)))
 
     def frame(batches):
         for b in batches:
@@ -425,8 +431,8 @@ def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFram
                 u1, u2 = name_of(scan)
                 one = lambda x, k: pa.array([x], k)
                 yield pa.RecordBatch.from_arrays(
-                    [one(u1, pa.int64()), one(u2, pa.int64()), one(1 << 30, pa.int32()), one(scan.data.tobytes(), pa.binary()), one(scan.off.astype("<i8").tobytes(), pa.binary()), one(None, pa.binary()), *(one(0, pa.int64()),) * 3, lists],
-                    names=["u1", "u2", "route", "a", "b", "c", "na", "nb", "nc", "rows"],
+                    [one(u1, pa.int64()), one(u2, pa.int64()), one(1 << 30, pa.int32()), one(scan.data.tobytes(), pa.binary()), one(scan.off.astype("<i8").tobytes(), pa.binary()), *(one(None, pa.binary()),) * (order - 2), *(one(0, pa.int64()),) * order, lists],
+                    names=["u1", "u2", "route", *some, *sizes, "rows"],
                 )
 
     frames = source.mapInArrow(frame, answers.schema)
@@ -436,7 +442,7 @@ def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFram
         current, got = None, {}
         for b in batches:
             for i in range(len(b)):
-                r = {c: b.column(c)[i] for c in ("u1", "u2", "route", "a", "b", "c", "na", "nb", "nc")}
+                r = {c: b.column(c)[i] for c in ("u1", "u2", "route", *some, *sizes)}
                 name = r["u1"].as_py(), r["u2"].as_py()
                 if name != current:
                     current, got = name, {}
@@ -445,8 +451,8 @@ def by_routes(source: DataFrame, model: Model, schema: T.StructType) -> DataFram
                     continue
                 scan = Scan(np.frombuffer(r["a"].as_py(), np.uint8), np.frombuffer(r["b"].as_py(), "<i8").astype(np.int64))
                 keys = distinct(scan)
-                known = {g: np.concatenate([got[k][g] for k in sorted(got)]) for g in ORDERS}
-                if any(len(known[g]) != len(keys[g]) for g in ORDERS):
+                known = {g: np.concatenate([got[k][g] for k in sorted(got)]) for g in letters}
+                if any(len(known[g]) != len(keys[g]) for g in letters):
                     raise ValueError("the texts were not read alike twice")
                 found = scorer.value(scan, lambda g, k, known=known, keys=keys: known[g][np.searchsorted(keys[g], k)])
                 rows = b.column("rows").slice(i, 1).flatten()
