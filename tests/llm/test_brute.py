@@ -495,6 +495,30 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(x.predicted == (x.score >= 0.5) for x in r)
 
 
+def test_votes_against_a_full_sort(documents, labels, texts):
+    """Scores from the fitted directions, in double precision, with every labelled row sorted by its cosine."""
+    model = knn.fit(documents, labels.where(doc_remainder(3) != 1))
+    s, basis = model.settings, model.basis.astype(float)
+
+    def latent(x):
+        x = x.astype(float) * model.idf
+        v = x / max(np.linalg.norm(x), 1e-9) @ basis
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    assert s.terms == "both" and model.vectors.shape == (len(model.labels), s.rank)
+    share = model.labels.mean()
+    checked = 0
+    for r in knn.score(documents.select("doc_id", "text"), model, carry=["doc_id"]).collect():
+        v = latent(knn.profiles_of([texts[r.doc_id]])[0])
+        cos = sorted(((float(v @ w), int(y)) for w, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+        if abs(cos[s.k - 1][0] - cos[s.k][0]) < 1e-5:
+            continue  # a tie at the last place
+        votes = [(max(c, 0) ** s.sharpness * (0.5 / share if y else 0.5 / (1 - share)), y) for c, y in cos[: s.k]]
+        assert abs(r.score - sum(x * y for x, y in votes) / sum(x for x, _ in votes)) < 1e-3
+        checked += 1
+    assert checked > 0.8 * len(texts)
+
+
 def test_labels_of_held_out_rows_change_nothing(documents, labels):
     train = labels.where(doc_remainder(3) != 1)
     a = knn.fit(documents, train)
@@ -508,7 +532,7 @@ def test_settings_are_judged_by_folds_without_copies():
     words = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
     texts = [" ".join(rng.choice(words, 40)) + "." for _ in range(40)] + ["#!" * int(rng.integers(20, 60)) for _ in range(40)]
     x, y = knn.profiles_of(texts), np.repeat([1, 0], 40)
-    grid = [knn.Settings(8, 3, 1.0), knn.Settings(4, 3, 1.0)]
+    grid = [knn.Settings(8, 3, 1.0), knn.Settings(4, 3, 1.0, "runs")]
     got = knn.cross_validated(x, y, np.arange(80), grid)
     assert got[0][0] == 0 and len(got) == 2
     # one group: there is no other fold to learn from, and every row scores 0.5

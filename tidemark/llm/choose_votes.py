@@ -16,10 +16,9 @@ from . import dartminhash, knn
 from .common import doc_remainder, table
 
 GRID = [
-    knn.Settings(rank, k, sharpness, style, weight)
-    for rank, (style, weight) in itertools.product((48, 96, 192), ((0, 0.0), (64, 1.0), (64, 2.0), (66, 1.0), (66, 2.0)))
-    for k, sharpness in itertools.product((5, 15, 31), (1.0, 4.0, 8.0))
-]
+    knn.Settings(rank, k, sharpness, terms)
+    for terms in ("chars", "runs", "both") for rank in (12, 24, 48, 96) for k, sharpness in itertools.product((5, 15, 31), (4.0, 8.0))
+]
 
 
 def training(spark: SparkSession, top: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,15 +1,15 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts are profiles of hashed character trigrams (with log weights), plus a few rates of character classes.  On a bounded sample of labelled rows
-(``SAMPLE`` rows at most; the bound of the fit) document frequencies weigh the trigrams and a truncated singular-value
-decomposition gives ``rank`` latent directions.  Projection and labelled vectors have fixed greatest sizes (``DIM + STYLE`` x ``rank`` and
-``SAMPLE`` x ``rank`` numbers) and are broadcast.  Each text's cosines with all labelled vectors are exact, from blocked
-matrix products; the ``k`` nearest vote with their similarity to the power ``sharpness``, each class weighed by its
+A text's terms are its pairs of bytes (hashed) and its runs of four byte classes (upper and lower case, digits, full stops and commas, other signs, blanks, line feeds,
+bytes beyond ASCII), all over the whole text, with logs of their counts.  On a bounded sample of labelled rows (``SAMPLE`` rows at most; the bound of the fit) document
+frequencies weigh the terms and a truncated singular-value decomposition gives ``rank`` latent directions.  The latent vectors alone carry the vote: projection and
+labelled vectors have fixed greatest sizes (``CHARS + RUNS`` x ``rank`` and ``SAMPLE`` x ``rank`` numbers) and are broadcast.  Each text's cosines with all labelled
+vectors are exact, from blocked matrix products; the ``k`` nearest vote with their similarity to the power ``sharpness``, each class weighed by its
 share in the sample.  Every document is scored by itself, without a shuffle.
 
-The sample is that of the least hashes of (doc_id, label), the same on every run.  Null labels are no labels; null texts are
-empty.  Texts without a trigram have the latent vector of no features, and score the even prior 0.5 unless the sample holds texts
-like them.  Repeated rows score alike; repeated labels each count.  Without any labelled row every score is 0.5.  An
+The sample is that of the least hashes of (doc_id, label), the same on every run.  Its texts become term counts where they lie; the driver gets at most ``CHARS + RUNS``
+numbers for each row, however long its text is.  Null labels are no labels; null texts are empty.  Texts without a term have the latent vector of no terms, and score the
+even prior 0.5 unless the sample holds texts like them.  Repeated rows score alike; repeated labels each count.  Without any labelled row every score is 0.5.  An
 empty table gives an empty result; ``keep`` carries all other columns.
 """
 
@@ -22,23 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .cascade import dup_lines
 from .common import text_of
-from .textscan import LOWER, SPACE, Scan, mix, scans
+from .textscan import SPACE, Scan, mix, scans
 
-DIM, STYLE, SAMPLE = 4096, 66, 4096
+CHARS, RUNS, SAMPLE = 2048, 4096, 3072
 BLOCK = 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``style``: how many of the STYLE cells count, from the first on, with weight ``style_weight`` beside the trigrams."""
+    """``terms``: ``chars`` (pairs of bytes), ``runs`` (of four byte classes) or ``both``."""
 
-    rank: int = 96
+    rank: int = 48
     k: int = 15
-    sharpness: float = 4.0
-    style: int = STYLE
-    style_weight: float = 2.0
+    sharpness: float = 8.0
+    terms: str = "both"
 
 
 SETTINGS = Settings()
@@ -55,36 +53,31 @@ CLASSES[128:] = 7
 
 
 def profiles(scan: Scan) -> np.ndarray:
-    """Per text: logs of trigram counts in DIM cells, then STYLE cells: roots of the shares of the pairs of byte classes, of words that
-    repeat the word before them, and of lines that repeat an earlier one."""
-    data, off, n = scan.data, scan.off, scan.n
-    out = np.zeros((n, DIM + STYLE), np.float32)
-    doc = np.repeat(np.arange(n), np.diff(off))
-    if len(data) >= 3:
-        inside = doc[2:] == doc[:-2]
-        low = LOWER[data].astype(np.uint64)
-        # upper-case words keep their case through the classes; trigrams ignore it
-        h = low[:-2] << np.uint64(16) | low[1:-1] << np.uint64(8) | low[2:]
-        cell = (mix(h) >> np.uint64(52)).astype(np.int64)
-        counts = np.bincount((doc[2:] * DIM + cell)[inside], minlength=n * DIM).reshape(n, DIM)
-        out[:, :DIM] = np.log1p(counts)
-    if len(data) >= 2:
-        inside = doc[1:] == doc[:-1]
-        c = CLASSES[data]
-        counts = np.bincount((doc[1:] * 64 + c[:-1] * 8 + c[1:])[inside], minlength=n * 64).reshape(n, 64)
-        out[:, DIM : DIM + 64] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    h, owner = scan.word_hash, scan.word_doc
-    stutter = np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=n) if len(h) else np.zeros(n)
-    out[:, DIM + 64] = np.sqrt(stutter / np.maximum(np.diff(scan.word_off), 1))
-    out[:, DIM + 65] = np.sqrt(dup_lines(scan) / (scan.count(data == 10) + 1))
+    """Per text the logs of its terms' counts: CHARS cells of byte pairs, RUNS cells of class runs."""
+    data, n = scan.data, scan.n
+    out = np.zeros((n, CHARS + RUNS), np.float32)
+    doc = np.repeat(np.arange(n), np.diff(scan.off))
+    wide, c = data.astype(np.uint64), CLASSES[data]
+    for low, size, width in ((0, CHARS, 2), (CHARS, RUNS, 4)):
+        if len(data) < width:
+            continue
+        if width == 2:
+            cell = (mix(wide[:-1] << np.uint64(8) | wide[1:]) >> np.uint64(53)).astype(np.int64)
+        else:
+            cell = c[:-3] * 512 + c[1:-2] * 64 + c[2:-1] * 8 + c[3:]
+        inside = doc[width - 1 :] == doc[: len(doc) - width + 1]
+        out[:, low : low + size] = np.log1p(np.bincount((doc[width - 1 :] * size + cell)[inside], minlength=n * size).reshape(n, size))
     return out
 
 
 def weighed(x: np.ndarray, idf: np.ndarray, s: Settings = SETTINGS) -> np.ndarray:
-    """Trigrams by inverse frequency, both blocks of features at unit length."""
-    a, b = x[:, :DIM] * idf, x[:, DIM : DIM + s.style]
-    norm = lambda y: y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-9)
-    return np.concatenate([norm(a), np.float32(s.style_weight) * norm(b)], axis=1)
+    """Terms by inverse frequency, at unit length."""
+    y = x * idf
+    if s.terms == "chars":
+        y[:, CHARS:] = 0
+    elif s.terms == "runs":
+        y[:, :CHARS] = 0
+    return unit(y)
 
 
 class Voter:
@@ -95,7 +88,7 @@ class Voter:
         self.empty = not len(x)
         if self.empty:
             return
-        df = (x[:, :DIM] > 0).sum(axis=0)
+        df = (x > 0).sum(axis=0)
         self.idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.1)
         w = weighed(x, self.idf, settings)
         self.basis = latent(w, settings.rank)
@@ -141,13 +134,13 @@ def latent(x: np.ndarray, rank: int) -> np.ndarray:
 
 def profiles_of(texts: list[str]) -> np.ndarray:
     col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    return np.concatenate([np.zeros((0, DIM + STYLE), np.float32), *(profiles(s) for s in scans(col, rows=BLOCK))])
+    return np.concatenate([np.zeros((0, CHARS + RUNS), np.float32), *(profiles(s) for s in scans(col, rows=BLOCK))])
 
 
 def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid: list[Settings], *, folds: int = 4) -> list[tuple[float, float]]:
     """For each setting the error and mean square error, averaged over both labels, of rows scored by models of other folds.
 
-    Rows of one group share a fold.  Settings of one style share a decomposition, of which they take the leading directions.
+    Rows of one group share a fold.  Settings of the same terms share a decomposition, of which they take the leading directions.
     """
     fold = (mix(groups.astype(np.uint64)) % np.uint64(folds)).astype(int)
     scores = np.full((len(grid), len(labels)), 0.5)
@@ -155,8 +148,8 @@ def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid:
         test = fold == f
         if not test.any() or test.all():
             continue
-        for style in sorted({(s.style, s.style_weight) for s in grid}):
-            same = [(i, s) for i, s in enumerate(grid) if (s.style, s.style_weight) == style]
+        for terms in sorted({s.terms for s in grid}):
+            same = [(i, s) for i, s in enumerate(grid) if s.terms == terms]
             voter = Voter(x[~test], labels[~test], max((s for _, s in same), key=lambda s: s.rank))
             for i, s in same:
                 scores[i, test] = voter.narrowed(s, x[~test]).score(x[test])
@@ -169,12 +162,200 @@ def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid:
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, settings: Settings = SETTINGS) -> Voter:
     """Fit on at most ``sample`` labelled rows, those of the least hashes."""
-    rows = sampled(docs, labels, label=label, sample=sample).select("text", "label").collect()
-    return Voter(profiles_of([r["text"] for r in rows]), np.array([r["label"] > 0 for r in rows], np.float32), settings)
+
+    order = ["__place", "doc_id", "label"]
+    rows = sampled(docs, labels, label=label, sample=sample)
+    schema = T.StructType([*(rows.schema[c] for c in order), T.StructField("cells", T.BinaryType()), T.StructField("logs", T.BinaryType())])
+
+    def fold(batches):
+        for b in batches:
+            for s in scans(b, rows=64):
+                found = [(np.flatnonzero(x), x[x > 0]) for x in profiles(s)]
+                cells = pa.array([c.astype("<u2").tobytes() for c, _ in found], pa.binary())
+                logs = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s.first, s.n) for c in order), cells, logs], names=schema.names)
+
+    got = rows.select(*order, "text").mapInArrow(fold, schema).orderBy(*order, "cells", "logs").limit(sample).collect()
+    x = np.zeros((len(got), CHARS + RUNS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["logs"], "<f4")
+    return Voter(x, np.array([r["label"] > 0 for r in got], np.float32), settings)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, label, __place) of the rows of at most ``sample`` labels."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
+    known = known.withColumn("__place", F.xxhash64("doc_id", "label")).orderBy("__place", "doc_id", "label").limit(sample)
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        if self.empty:
+            return np.full(len(x), 0.5)
+        out = []
+        for low in range(0, len(x), BLOCK):
+            v = unit(weighed(x[low : low + BLOCK], self.idf, self.settings) @ self.basis)
+            cos = v @ self.vectors.T
+            k = min(self.settings.k, cos.shape[1])
+            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            vote = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.settings.sharpness * self.class_weight[near]
+            total = vote.sum(axis=1)
+            out.append(np.where(total > 0, (vote * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), 0.5))
+        return np.clip(np.concatenate(out).astype(np.float64), 0, 1) if out else np.zeros(0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def latent(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors (columns), by subspace iteration from a fixed start."""
+    rng = np.random.default_rng(12345)
+    q = np.linalg.qr(rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32))[0]
+    for _ in range(4):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ vt.T)[:, :rank].astype(np.float32)
+
+
+def profiles_of(texts: list[str]) -> np.ndarray:
+    col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return np.concatenate([np.zeros((0, CHARS + RUNS), np.float32), *(profiles(s) for s in scans(col, rows=BLOCK))])
+
+
+def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid: list[Settings], *, folds: int = 4) -> list[tuple[float, float]]:
+    """For each setting the error and mean square error, averaged over both labels, of rows scored by models of other folds.
+
+    Rows of one group share a fold.  Settings of the same terms share a decomposition, of which they take the leading directions.
+    """
+    fold = (mix(groups.astype(np.uint64)) % np.uint64(folds)).astype(int)
+    scores = np.full((len(grid), len(labels)), 0.5)
+    for f in range(folds):
+        test = fold == f
+        if not test.any() or test.all():
+            continue
+        for terms in sorted({s.terms for s in grid}):
+            same = [(i, s) for i, s in enumerate(grid) if s.terms == terms]
+            voter = Voter(x[~test], labels[~test], max((s for _, s in same), key=lambda s: s.rank))
+            for i, s in same:
+                scores[i, test] = voter.narrowed(s, x[~test]).score(x[test])
+    out = []
+    for got in scores:
+        by_label = [(((got >= 0.5) != y)[labels == y].mean(), ((got - y) ** 2)[labels == y].mean()) for y in (0, 1) if (labels == y).any()]
+        out.append(tuple(float(np.mean(v)) for v in zip(*by_label, strict=True)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, settings: Settings = SETTINGS) -> Voter:
+    """Fit on at most ``sample`` labelled rows, those of the least hashes."""
+
+    def fold(batches):
+        for b in batches:
+            for s in scans(b, rows=64):
+                x = profiles(s)
+                rows = [np.flatnonzero(r) for r in x]
+                cells = pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())
+                logs = pa.array([x[i][r].astype("<f4").tobytes() for i, r in enumerate(rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("label").slice(s.first, s.n), cells, logs], names=["label", "cells", "logs"])
+
+    got = sampled(docs, labels, label=label, sample=sample).select("text", "label").mapInArrow(fold, "label int, cells binary, logs binary").collect()
+    got = sorted(got, key=lambda r: (r["label"], r["cells"], r["logs"]))
+    x = np.zeros((len(got), CHARS + RUNS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["logs"], "<f4")
+    return Voter(x, np.array([r["label"] > 0 for r in got], np.float32), settings)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, label, __place) of the rows of at most ``sample`` labels."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
+    known = known.withColumn("__place", F.xxhash64("doc_id", "label")).orderBy("__place", "doc_id", "label").limit(sample)
+    # by ids alone first, so that texts of the sample are all that is moved
+    ids = docs.select("doc_id", F.xxhash64(text_of()).alias("__hash")).join(F.broadcast(known), "doc_id").orderBy("__place", "doc_id", "label", "__hash").limit(sample)
+    wanted = ids.groupBy("doc_id", "__hash", "label").agg(F.count("*").alias("__times"))
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("__hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "__hash"])
+    return rows.select("doc_id", "text", "label", "__times")
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        if self.empty:
+            return np.full(len(x), 0.5)
+        out = []
+        for low in range(0, len(x), BLOCK):
+            v = unit(weighed(x[low : low + BLOCK], self.idf, self.settings) @ self.basis)
+            cos = v @ self.vectors.T
+            k = min(self.settings.k, cos.shape[1])
+            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            vote = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.settings.sharpness * self.class_weight[near]
+            total = vote.sum(axis=1)
+            out.append(np.where(total > 0, (vote * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), 0.5))
+        return np.clip(np.concatenate(out).astype(np.float64), 0, 1) if out else np.zeros(0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def latent(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors (columns), by subspace iteration from a fixed start."""
+    rng = np.random.default_rng(12345)
+    q = np.linalg.qr(rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32))[0]
+    for _ in range(4):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ vt.T)[:, :rank].astype(np.float32)
+
+
+def profiles_of(texts: list[str]) -> np.ndarray:
+    col = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return np.concatenate([np.zeros((0, CHARS + RUNS), np.float32), *(profiles(s) for s in scans(col, rows=BLOCK))])
+
+
+def cross_validated(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, grid: list[Settings], *, folds: int = 4) -> list[tuple[float, float]]:
+    """For each setting the error and mean square error, averaged over both labels, of rows scored by models of other folds.
+
+    Rows of one group share a fold.  Settings of the same terms share a decomposition, of which they take the leading directions.
+    """
+    fold = (mix(groups.astype(np.uint64)) % np.uint64(folds)).astype(int)
+    scores = np.full((len(grid), len(labels)), 0.5)
+    for f in range(folds):
+        test = fold == f
+        if not test.any() or test.all():
+            continue
+        for terms in sorted({s.terms for s in grid}):
+            same = [(i, s) for i, s in enumerate(grid) if s.terms == terms]
+            voter = Voter(x[~test], labels[~test], max((s for _, s in same), key=lambda s: s.rank))
+            for i, s in same:
+                scores[i, test] = voter.narrowed(s, x[~test]).score(x[test])
+    out = []
+    for got in scores:
+        by_label = [(((got >= 0.5) != y)[labels == y].mean(), ((got - y) ** 2)[labels == y].mean()) for y in (0, 1) if (labels == y).any()]
+        out.append(tuple(float(np.mean(v)) for v in zip(*by_label, strict=True)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, settings: Settings = SETTINGS) -> Voter:
+    """Fit on at most ``sample`` labelled rows, those of the least hashes."""
+
+    def fold(batches):
+        for b in batches:
+            for s in scans(b, rows=64):
+                x = profiles(s)
+                rows = [np.flatnonzero(r) for r in x]
+                cells = pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())
+                logs = pa.array([x[i][r].astype("<f4").tobytes() for i, r in enumerate(rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("label").slice(s.first, s.n), cells, logs], names=["label", "cells", "logs"])
+
+    got = sampled(docs, labels, label=label, sample=sample).select("text", "label").mapInArrow(fold, "label int, cells binary, logs binary").collect()
+    got = sorted(got, key=lambda r: (r["label"], r["cells"], r["logs"]))
+    x = np.zeros((len(got), CHARS + RUNS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["logs"], "<f4")
+    return Voter(x, np.array([r["label"] > 0 for r in got], np.float32), settings)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, label) of the rows to fit on."""
+    """(doc_id, text, label, __place) of the rows of at most ``sample`` labels."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.withColumn("__place", F.xxhash64("doc_id", "label")).orderBy("__place", "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
