@@ -571,6 +571,23 @@ def test_ring_against_plain_bounded_loads(documents):
     assert {r.doc_id: r.shard for r in ring.assign(documents, shards).collect()} == expected
 
 
+def test_hot_keys_and_full_cells_are_ranked_in_parts(spark, monkeypatch):
+    rows = spark.range(6000).selectExpr("if(id < 3000, 7, id) as doc_id", "if(id < 1000, 'same', concat('t', id)) as text").repartition(5)
+    whole = {(r.doc_id, r.text_crc32): r for r in ring.assign(rows, 4, cells=512, per_shard=64).collect() if r.doc_id != 7}
+    monkeypatch.setattr(ring, "PART_ROWS", 10)
+    sizes = []
+    monkeypatch.setattr(ring, "cut", lambda df, real=ring.cut: (lambda out: (sizes.extend(r["count"] for r in out.groupBy("cell", "range", "part").count().collect()) if "part" in out.columns else None, out)[1])(real(df)))
+    got = ring.assign(rows, 4, cells=512, per_shard=64).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 6000 and all(sorted(x) == list(range(1500)) for x in slots.values())
+    assert sizes and max(sizes) <= 40 and sum(sizes) == 6000
+    # where no key fills a part, keys are ranked in the same order as in one piece
+    same = [r.shard == whole[r.doc_id, r.text_crc32].shard for r in got if r.doc_id != 7]
+    assert sum(same) > 0.95 * len(same)
+
+
 def test_growth_moves_little_and_only_what_it_must(documents):
     a, b = ring.nodes(8), ring.nodes(9)
     assert all(y in (x, 8) for x, y in zip(a, b, strict=True) if x is not None) and Counter(b)[8] == ring.NODES

@@ -33,8 +33,8 @@ BLOCK = 1024
 class Settings:
     """``terms``: ``chars`` (pairs of bytes), ``runs`` (of four byte classes) or ``both``."""
 
-    rank: int = 48
-    k: int = 15
+    rank: int = 24
+    k: int = 5
     sharpness: float = 8.0
     terms: str = "both"
 
