@@ -161,21 +161,36 @@ def test_parts_are_bounded_whatever_the_rows(spark, monkeypatch):
 # 2 spans
 
 
+def word_weight(word, known={}):
+    if word not in known:
+        scan = next(scans(pa.RecordBatch.from_arrays([pa.array([word])], names=["text"])))
+        known[word] = int(dartminhash.mix(scan.word_hash)[0])
+    return known[word]
+
+
 def sentences(text):
-    """Ranges of words, by plain code (sentences of up to LONG words only are compared)."""
-    out, start = [], 0
-    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    """Words and the ranges of sentences, by plain code."""
+    whole, start = [], 0
+    words = list(WORD.finditer(text))
     for i, w in enumerate(words):
-        last = i == len(words) - 1
-        if last or w[0][-1] in ".!?" or "\n" in text[w.end() : words[i + 1].start()]:
-            out.append((start, i + 1))
+        if i == len(words) - 1 or w[0][-1] in ".!?" or "\n" in text[w.end() : words[i + 1].start()]:
+            whole.append((start, i + 1))
             start = i + 1
-    return [lowered(w[0]) for w in words], out
+    low, out = [lowered(w[0]) for w in words], []
+    for a, z in whole:
+        if z - a > spans.LONG:
+            for i in range(a, z - 1):
+                if all(word_weight(low[i]) <= word_weight(x) for x in low[max(0, i - spans.REACH) : i + spans.REACH + 1]):
+                    out.append((a, i + 1))
+                    a = i + 1
+        out.append((a, z))
+    return low, out
 
 
 def test_spans_against_plain_code(spark):
     rnd = random.Random(3)
     pool = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 15))) + rnd.choice([".", "!", "?"]) for _ in range(120)]
+    pool += [" ".join(rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(rnd.randint(17, 60))) + rnd.choice([".", ""]) for _ in range(60)] + ["same " * 40, "to and " * 30]
     docs = {k: rnd.choice([" ", "\n", "\n\n"]).join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for k in range(40)}
     for k in range(40, 50):  # passages that several share
         docs[k] = docs[k - 40] + "\n" + docs[k - 35]
@@ -209,7 +224,8 @@ def test_shared_passages_of_fifty_words_stay_once(spark):
     prose = lambda n: " ".join(word() + (rnd.choice([".", "", "", "", ""]) if i % 2 else "") for i in range(n))
     plain = " ".join(word() for _ in range(80))  # without a full stop
     passages = [prose(60), prose(55) + ".", plain]
-    docs = [(k, f"{prose(40)}.\n{passages[k % 3]}\n{prose(30)}.") for k in range(12)] + [(100 + k, prose(120)) for k in range(6)]
+    around = lambda p: f"{prose(40)}.\n{p}\n{prose(30)}." if p is not plain else f"{prose(9)} {p} {prose(9)}"  # noqa: E731  the last in the middle of a sentence
+    docs = [(k, around(passages[k % 3])) for k in range(12)] + [(100 + k, prose(120)) for k in range(6)]
     got = {r.row.doc_id: r.text for r in spans.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     for n, p in enumerate(passages):
         middle = " ".join(p.split()[20:40])

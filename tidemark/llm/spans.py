@@ -1,8 +1,8 @@
 """Removal of sentence spans that repeat, within a text or across texts.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line feed, or at the text's end; sentences of more than
-``LONG`` words are cut after words that a hash picks and after every eighth word of a row of equal ones, so a passage without full
-stops is cut alike wherever it stands.  From each sentence runs a span: the fewest consecutive sentences, two at least, that have ``MIN_WORDS`` words
+``LONG`` words are cut after each word whose hash is no greater than those of the ``REACH`` words on both its sides, so a passage without full
+stops is cut alike wherever it stands, but for ``REACH`` words at its ends, and cuts are about twice that apart.  From each sentence runs a span: the fewest consecutive sentences, two at least, that have ``MIN_WORDS`` words
 together.  Spans are compared by 128-bit hashes of their words (lower-cased in A-Z, white space aside).  Of all spans with one
 hash the first stays, that of the least document id and then the least position; each sentence that any other of them
 covers is removed, with the blanks behind it but not the line feed.
@@ -25,7 +25,7 @@ from .common import text_of
 from .dartminhash import node
 from .textscan import FIRST, LOWER, SECOND, SPACE, Scan, mix, scans
 
-MIN_SENTENCES, MIN_WORDS, LONG, CUT = 2, 16, 16, np.uint64(7)
+MIN_SENTENCES, MIN_WORDS, LONG, REACH = 2, 16, 16, 4
 
 
 class Spans:
@@ -48,11 +48,12 @@ class Spans:
         last = np.flatnonzero(stop) + 1
         first = np.concatenate([[0], last[:-1]])
         length = np.repeat(last - first, last - first)
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        at = np.arange(len(h))
-        said = at - np.maximum.accumulate(np.where(fresh, at, 0))  # how often the word has just been said
-        stop |= (length > LONG) & (((mix(h) & CUT) == 0) | (said % 8 == 7))
+        weight, least = mix(h), np.ones(len(h), bool)
+        for d in range(1, REACH + 1):
+            apart = doc[d:] != doc[:-d]
+            least[d:] &= apart | (weight[d:] <= weight[:-d])
+            least[:-d] &= apart | (weight[:-d] <= weight[d:])
+        stop |= (length > LONG) & least
         self.last = np.flatnonzero(stop) + 1
         self.first = np.concatenate([[0], self.last[:-1]])
         self.doc = doc[self.first]
