@@ -1,18 +1,18 @@
 """The corpus pipeline: documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs.  All but the last
-return the columns of documents.  Intermediate tables go to the folder that the session names in spark.checkpoint.dir.
+return the columns of documents.  Intermediate tables go to the folder that the session names in spark.checkpoint.dir;
+each is removed once the next one is written, and the last is the result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import dartminhash, decontam, knn, packing, spans
-from tidemark.llm.common import doc_remainder, table
+from tidemark.llm.common import doc_remainder, removed, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    top = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        to = f"{top}/corpus-pipeline-{uuid.uuid4().hex}/{name}"
+        to = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(to)
-        docs = spark.read.parquet(to)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(to), to
     return docs
