@@ -490,17 +490,29 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 90 for i in [90, *range(100, 160)]}
 
 
-def test_blocks_meet(spark):
-    before, dartminhash.BLOCK = dartminhash.BLOCK, 4
-    try:
-        rows = [(1, i, i, 24) for i in range(24)]
-        texts = spark.createDataFrame([(i, f"one two three four five six seven eight nine w{i // 2} " + f"tail{i // 2} " * 8) for i in range(24)], "id bigint, text string")
-        got = {tuple(sorted((r.a, r.b))) for r in dartminhash.resolved(spark.createDataFrame(rows, "key bigint, id bigint, root bigint, n bigint"), texts).collect()}
-    finally:
-        dartminhash.BLOCK = before
+def test_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "BLOCK", 4)
+    rows = [(1, i, i, 24) for i in range(24)]
+    texts = spark.createDataFrame([(i, f"one two three four five six seven eight nine w{i // 2} " + f"tail{i // 2} " * 8) for i in range(24)], "id bigint, text string")
+    dealt = dartminhash.spread(spark.createDataFrame(rows, "key bigint, id bigint, root bigint, n bigint"))
+    got = {tuple(sorted((r.a, r.b))) for r in dartminhash.resolved(dealt, texts).collect()}
     assert got == {(i, i + 1) for i in range(0, 24, 2)}
 
 
+def test_a_large_component_is_dealt_once_for_each_block_of_the_others(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "BLOCK", 4)
+    rows = [(1, i, 0 if i < 100 else 500 if i < 110 else i) for i in range(113)] + [(2, i, i) for i in range(3)]
+    dealt = dartminhash.spread(spark.createDataFrame(rows, "key bigint, id bigint, root bigint")).collect()
+    times = Counter((r.key, r.id) for r in dealt)
+    # 25 blocks of the first root, 3 of the second, 1 of three others
+    assert all(times[1, i] == 4 for i in range(100)) and all(times[1, i] == 26 for i in range(100, 110)) and all(times[1, i] == 29 for i in range(110, 113)) and all(times[2, i] == 1 for i in range(3))
+    places = defaultdict(set)
+    for r in dealt:
+        places[r.key, r.lo, r.hi].add((r.id, r.root))
+    met = {(a, b) for ms in places.values() for a, x in ms for b, y in ms if x != y}
+    assert {(a, b) for k, a, x in rows for j, b, y in rows if k == j == 1 and x != y} <= met
+
+
 # 7 votes
 
 

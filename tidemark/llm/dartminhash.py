@@ -16,10 +16,10 @@ its square.  What passes the exact check is joined into components; only buckets
 are gone through again, without a row for each pair:
 
 * a bucket of up to ``BLOCK`` members is one product of incidence matrices;
-* the members of larger ones (many texts from one template, say, below the threshold) are dealt anew by the prefix principle: of two texts at similarity t or more, each
-  has one of the other's among its rarest (1 - t) of shingles and one.  Rarity is counted among these members, so what the template gives them all comes last, and texts
-  that share only that meet nowhere.  Groups are those with one rare shingle; this loses no pair.
-* Only a group that is still larger (texts from one template just under the threshold) is compared in full, in blocks that are dealt over tasks of bounded rows and bytes.
+* larger ones are cut into blocks that meet in pairs, dealt over tasks of bounded rows and bytes; a large component has blocks of its own, which don't meet each other;
+* where that would deal members more than ``MANY`` times (many texts from one template, say, below the threshold), they are dealt by the prefix principle instead, if that is
+  less: of two texts at similarity t or more, each has one of the other's among its rarest (1 - t) of shingles and one.  Rarity is counted among these
+  members, so what the template gives them all comes last, and texts that share only that meet nowhere.  Groups are those with one rare shingle; this loses no pair.
 
 A pair at plain or weighted similarity 0.8 is missed in all bands with probability 0.0004; ``tests`` measure it.
 
@@ -43,7 +43,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 26
 DARTS = 9
-BLOCK = 512
+BLOCK, MANY = 512, 4
 PART_ROWS, PART_BYTES = 2000, 16 << 20
 MASK = (1 << 64) - 1
 
@@ -237,19 +237,33 @@ def narrowed(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
     return cut(first.join(groups, "key"))
 
 
-def resolved(rest: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) that join components within buckets, rows (key, id, root, n) with n the size of the bucket.
+def spread(rest: DataFrame) -> DataFrame:
+    """(key, id, root, lo, hi): the members of buckets (key, id, root) in blocks of about ``BLOCK``, once for each block that theirs must meet.
 
-    Members of a bucket are dealt into blocks of about ``BLOCK``, and two blocks meet in one place; there a product of
-    incidence matrices gives every similarity, and only links that join what is apart go on, fewer than members.
+    A root with many members in a bucket has blocks of its own, which needn't meet each other, so a large component is dealt once for each block of the others.
+    """
+    roots = cut(rest.groupBy("key", "root").agg(F.count("*").alias("c")))
+    large = F.col("c") >= BLOCK // 2
+    few = F.sum(F.when(~large, F.col("c")).otherwise(0)).alias("few")
+    plans = roots.groupBy(F.col("key").alias("p_key")).agg(few, F.array_sort(F.collect_list(F.when(large, F.struct(F.col("root"), F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))))).alias("own"))
+    plans = cut(plans.withColumn("shared", F.ceil(F.col("few") / BLOCK).cast("int")).drop("few"))
+    at = lambda x: F.array_position(F.transform("own", lambda o: o["root"]), x)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, o: acc + o["k"])
+    rows = rest.select("key", "id", "root").join(plans, F.col("key") == F.col("p_key")).drop("p_key").withColumn("place", at(F.col("root")).cast("int"))
+    rows = rows.withColumns({"first": F.when(F.col("place") == 0, 0).otherwise(F.col("shared") + total(F.slice("own", 1, F.greatest(F.col("place") - 1, F.lit(0))))), "k": F.when(F.col("place") == 0, F.col("shared")).otherwise(F.get("own", F.col("place") - 1)["k"]), "all": F.col("shared") + total(F.col("own"))})
+    rows = rows.withColumn("blk", F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("k")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: (F.col("place") == 0) | (o < F.col("first")) | (o >= F.col("first") + F.col("k")))
+    return rows.select("key", "id", "root", "blk", F.explode(others).alias("other")).select("key", "id", "root", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+
+
+def resolved(dealt: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join components within buckets, from rows (key, id, root, lo, hi).
+
+    Two blocks meet in one place; there a product of incidence matrices gives every similarity, and only links that join what is apart go on, fewer than members.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    # what the groups below will hold: a member comes once for each block of its bucket, with its text
     sizes = texts.select("id", F.octet_length("text").cast("long").alias("bytes"))
-    load = rest.withColumn("nb", blocks).join(sizes, "id").agg(F.sum(F.col("nb").cast("long")).alias("rows"), F.sum(F.col("nb") * F.col("bytes")).alias("bytes")).first()
+    load = dealt.join(sizes, "id").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
     parts = max(64, -(-(load["rows"] or 0) // PART_ROWS), -(-(load["bytes"] or 0) // PART_BYTES))
-    dealt = rest.withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "id", "root", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)).cast("int"))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -404,10 +418,15 @@ def rooted(docs: DataFrame, threshold: float) -> DataFrame:
     labelled = cut(labelled)
     mixed = cut(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
     rest = cut(labelled.join(mixed, "key"))
+    dealt = cut(spread(rest.where(F.col("n") <= BLOCK)))
     if not mixed.where(F.col("n") > BLOCK).isEmpty():
-        again = narrowed(rest.where(F.col("n") > BLOCK).select("id", "root").distinct(), texts, threshold)
-        rest = rest.where(F.col("n") <= BLOCK).unionByName(again.select(*rest.columns))
-    found = cut(resolved(rest, texts, threshold))
+        large = rest.where(F.col("n") > BLOCK)
+        blocks = cut(spread(large))
+        if blocks.count() > MANY * large.count():  # rather by rare shingles, if those groups are less
+            rare = cut(spread(narrowed(large.select("id", "root").distinct(), texts, threshold)))
+            blocks = min((blocks, rare), key=lambda d: d.count())
+        dealt = cut(dealt.unionByName(blocks))
+    found = cut(resolved(dealt, texts, threshold))
     if not found.isEmpty():
         roots = cut(components(links.union(found)))
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("own").alias("id"), F.col("id").alias("node"), F.coalesce("root", "rep").alias("root"))
