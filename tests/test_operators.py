@@ -244,6 +244,88 @@ def test_fan_out_and_share(spark):
     from tidemark.sinks import MemorySink
 
     extra, main = MemorySink(), MemorySink()
+    from tidemark.streaming import Job
+
     flow = numbers(spark, 1, 2).pipe(op.fan_out(extra))
-    main.write(flow.df)
-    assert [r.v for r in extra.items] == [r.v for r in main.items] == [1, 2] and flow.df.storageLevel.useMemory
+    assert extra.items == []
+    shared = flow.df
+    assert shared.storageLevel.useMemory
+    Job([main]).run(flow)
+    assert [r.v for r in extra.items] == [r.v for r in main.items] == [1, 2]
+
+
+def test_failures_name_their_stage(spark):
+    def poisoned(record):
+        raise ValueError(f"v is {record['v']}")
+
+    seen = []
+    for broken in (op.map_op(poisoned, "n bigint"), op.flat_map(poisoned, "n", "bigint"), op.filter_op(poisoned), op.validate(poisoned, on_invalid="fail_job"), op.scan_op(lambda s, r: poisoned(r), 0, "n", "bigint")):
+        with pytest.raises(StreamProcessingError) as e:
+            numbers(spark, 1).pipe(broken).collect()
+        seen.append((e.value.stage, e.value.original))
+    assert seen == [(stage, "ValueError: v is 1") for stage in ("map_op", "flat_map", "filter_op", "validate", "scan_op")]
+    got = []
+    numbers(spark, 1, 2).subscribe(lambda r: got.append(r.v), on_complete=lambda: got.append("end"))
+    numbers(spark, 1).pipe(op.map_op(poisoned, "n bigint")).subscribe(got.append, on_error=lambda e: got.append(e.stage))
+    assert got == [1, 2, "end", "map_op"]
+
+
+def test_scan_with_a_seed_and_failing_items(records):
+    flow = records([("a", 0, 1), ("a", 1, -1), ("a", 2, 5), ("b", 3, 7)], "v bigint")
+    assert values(flow.pipe(op.scan_op(F.sum("v"), 100, "total", combine=lambda seed, x: seed + x)), "total") == [101, 100, 105, 107]
+    with pytest.raises(ValueError):
+        op.scan_op(F.sum("v"), 100)
+
+    def step(state, record):
+        if record["v"] < 0:
+            raise ValueError("negative")
+        return state + record["v"]
+
+    out = flow.pipe(op.scan_op(step, 100, "total", "bigint", on_error="skip"))
+    assert values(out, "total") == [101, 106, 107] and [(r.v, r.headers["dlq_stage"], r.headers["dlq_error"]) for r in out.side["dlq"].collect()] == [(-1, "scan_op", "ValueError: negative")]
+    out.release()
+    kept = op.last_states(out.df, "total")
+    assert values(records([("b", 0, 1), ("c", 1, 1)], "v bigint").pipe(op.scan_op(step, 100, "total", "bigint", states=kept)), "total") == [108, 101]
+
+
+def test_a_table_with_two_rows_of_a_key_matches_once(spark, records):
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "key string, w bigint")
+    out = records([("a", 0, 1), ("b", 1, 2), (None, 2, 3), ("c", 3, 4)], "v bigint").pipe(op.join_table(table))
+    assert sorted(r.v for r in out.df.collect()) == [1, 2, 3] and [r.v for r in out.side["unmatched"].collect()] == [4]
+
+
+def test_a_pair_has_the_envelope_of_the_later_record(records):
+    left, right = records([("a", 0, "l0"), ("a", 10, "l1")], "v string"), records([("a", 5, "r0"), ("a", 10, "r1")], "v string")
+    rows = left.pipe(op.join_stream(right, "5s", how="left")).df.orderBy("position").collect()
+    assert [(r.v, r["right"] and r["right"].v, seconds(r.event_time), r.offset) for r in rows] == [("l0", None, 0, 0), ("l0", "r0", 5, 0), ("l1", "r0", 10, 1), ("l1", "r1", 10, 1)]
+
+
+def test_records_become_a_table_of_their_own_flow(records):
+    flow = records([("a", 0, 1), ("b", 1, 2), ("a", 2, 3)], "v bigint").pipe(op.upsert_table(F.col("key"), state_id="t"), op.join_table_state("t"))
+    assert [(r.v, r["right"].v) for r in flow.collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert {r.key: r.v for r in op.as_table(flow.side["table:t"].select("offset", "key", "v")).collect()} == {"a": 3, "b": 2}
+
+
+def test_slices_follow_the_rows_not_the_span(spark):
+    from tidemark.plans.arrival import sliced
+
+    df = spark.range(2500).selectExpr("if(id = 0, 1000000000000000, id) as x", "if(id % 100 = 0, null, id) as y")
+    sizes = [r["count"] for r in sliced(df, F.col("x")).groupBy("__slice").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 120
+    assert [r["__slice"] for r in sliced(df, F.col("y")).where("y is null").select("__slice").distinct().collect()] == [-1]
+
+
+def test_debounce_compares_no_stream_with_itself(records):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abc"), max(0, i - rnd.choice([0, 0, 0, 30])), i) for i in range(400)]
+    flow = records(rows, "v bigint").pipe(op.debounce("10s"))
+    plan = flow.df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    expected = []
+    for i, (k, t, v) in enumerate(rows):
+        nxt = next((j for j in range(i + 1, len(rows)) if rows[j][0] == k), None)
+        if nxt is None or any(rows[j][1] - t >= 10 for j in range(i + 1, nxt + 1)):
+            expected.append(v)
+    assert sorted(r.v for r in flow.df.collect()) == expected

@@ -4,9 +4,11 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 from timebase import T0
 
-from tidemark import sources
+from tidemark import operators as op, sources
+from tidemark.failures import StreamProcessingError
 from tidemark.flow import Flow
 from tidemark.functions.clock import VirtualClock
 from tidemark.metrics import Metrics
@@ -138,23 +140,69 @@ def test_job_writes_main_and_side(spark):
     Job([main], dlq=dead, on_complete=lambda: done.append(1)).run(flow)
     assert [r.v for r in main.items] == ["ok"] and [r.v for r in dead.items] == ["bad"] and done == [1]
     errors = []
+    Job([Failing()], protect_sinks=False, on_error=errors.append).run(flow)
     Job([Failing()], on_error=errors.append).run(flow)
-    assert isinstance(errors[0], OSError)
+    assert isinstance(errors[0], OSError) and isinstance(errors[1], StreamProcessingError) and errors[1].stage == "sink"
     for bad in ({"delivery": "maybe"}, {"delivery": "effectively_once"}):
         with pytest.raises(ValueError):
             Job([main], **bad)
 
 
-def test_store_and_checkpoint(tmp_path):
+def test_protected_tables_are_written_or_buried(spark, tmp_path):
+    df = from_iterable(spark, ["x", "y"], "v string")
+    ProtectedSink(TableSink(str(tmp_path / "p"))).write(df)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+    class Broken(TableSink):
+        def write(self, df):
+            raise OSError("full")
+
+    dead, breaker = MemorySink(), CircuitBreaker(5)
+    ProtectedSink(Broken("x"), breaker=breaker, dead=dead).write(df)
+    assert [(r.v, r.headers["dlq_stage"], r.headers["dlq_error"]) for r in dead.items] == [("x", "sink", "OSError: full"), ("y", "sink", "OSError: full")]
+    assert dead.payloads == [{"v": "x"}, {"v": "y"}]
+    # three attempts each, and yet one failure for each record
+    rows = ProtectedSink(Failing(), breaker=breaker, dead=dead)
+    rows.write(df)
+    assert breaker.state == "closed" and len(dead.items) == 4
+    alone = ProtectedSink(Failing())
+    alone.write(df)
+    with pytest.raises(StreamProcessingError, match="2 records"):
+        alone.flush()
+
+
+def test_a_source_goes_on_from_its_checkpoint(spark, tmp_path):
+    log, out = sources.PartitionedLog(str(tmp_path / "log")), MemorySink()
+
+    def run():
+        job = Job([out], delivery="effectively_once", checkpoint_dir=str(tmp_path / "c"), keep=("total",))
+        scan = op.scan_op(lambda s, r: s + r["n"], 0, "total", "bigint", states=job.states(spark, "total"))
+        consumer = log.consumer()
+        job.run_source(spark, consumer, op.key_by(F.lit("k")), scan, schema="n bigint")
+        return consumer
+
+    for n in (1, 2):
+        log.append({"n": n})
+    assert run().committed(0) == 1 and [r.total for r in out.items] == [1, 3]
+    run()  # nothing new
+    for n in (3, 4):
+        log.append({"n": n})
+    assert run().committed(0) == 3 and [r.total for r in out.items] == [1, 3, 6, 10]
+    assert isinstance(log.consumer(), sources.Source) and isinstance(sources.FileSource("x"), sources.Source)
+    assert sources.from_source(spark, log.consumer({0: 2}), "n bigint").df.count() == 2
+
+
+def test_store_and_checkpoint(spark, tmp_path):
     s = KeyValueStore()
     s.put("a", 1, "x")
     assert s.get("a", 1) == "x" and s.get("b", 1, 0) == 0 and list(s.items("a")) == [(1, "x")] and s.namespace("a") == {1: "x"}
-    save_checkpoint(str(tmp_path), s, {"0": 4})
-    t, offsets = load_checkpoint(str(tmp_path))
-    assert t.dump() == {"a": {1: "x"}} and offsets == {"0": 4}
+    for n in (3, 4):
+        save_checkpoint(spark, str(tmp_path), s, {"0": n})
+    t, offsets, tables = load_checkpoint(spark, str(tmp_path))
+    assert t.dump() == {"a": {1: "x"}} and offsets == {"0": 4} and tables == {}
     assert s.pop("a", 1) == "x" and s.dump() == {"a": {}}
     s.clear()
-    assert load_checkpoint(str(tmp_path / "none"))[1] == {}
+    assert load_checkpoint(spark, str(tmp_path / "none"))[1] == {}
 
 
 def test_metrics(spark):
@@ -168,3 +216,11 @@ def test_metrics(spark):
     assert (snap["odd"].records_in, snap["odd"].records_out, snap["small"].records_out, snap["small"].dlq) == (3, 2, 1, 1) and "odd" in m.summary()
     m.told(T0, T0 + timedelta(minutes=5))
     assert m.lag_seconds == 300.0
+
+    def poisoned(record):
+        raise KeyError(record["v"])
+
+    bad = Flow(from_iterable(spark, [1], "v bigint")).pipe(op.map_op(poisoned, "n bigint"))
+    errors = []
+    Job([MemorySink()], metrics=m, protect_sinks=False, on_error=errors.append).run(bad)
+    assert (errors[0].stage, errors[0].original) == ("map_op", "KeyError: 1") and m.snapshot(read={"small": ("dlq",)})["map_op"].errors == 1

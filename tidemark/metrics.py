@@ -18,6 +18,7 @@ class StageMetrics:
     dropped: int = 0
     late: int = 0
     dlq: int = 0
+    errors: int = 0
 
 
 @dataclass
@@ -27,6 +28,7 @@ class Metrics:
     watermark: datetime | None = None
     lag_seconds: float | None = None
     _seen: dict[str, dict[str, Observation]] = field(default_factory=dict)
+    _errors: dict[str, int] = field(default_factory=dict)
 
     def stage(self, name: str, op: Operator) -> Operator:
         def run(flow: Flow) -> Flow:
@@ -41,7 +43,7 @@ class Metrics:
                 kind = {"late": "late", "dlq": "dlq"}.get(k, "dropped")
                 seen[kind] = Observation(f"{name}_{k}_{len(self._seen)}")
                 side[k] = side[k].observe(seen[kind], F.count("*").alias("n"))
-            return Flow(out.df, side)
+            return out.with_side(side)
 
         return run
 
@@ -51,8 +53,14 @@ class Metrics:
         for name, seen in self._seen.items():
             wanted = ("records_in", "records_out", *(read or {}).get(name, ()))
             out[name] = StageMetrics(**{k: seen[k].get["n"] for k in wanted if k in seen})
+        for name, n in self._errors.items():
+            out.setdefault(name, StageMetrics()).errors = n
         return out
 
+    def failed(self, stage: str) -> None:
+        """A stage stopped the job."""
+        self._errors[stage] = self._errors.get(stage, 0) + 1
+
     def summary(self, **kw) -> str:
         return "\n".join(f"{k}: {asdict(v)}" for k, v in self.snapshot(**kw).items())
 

@@ -11,6 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..errors import Columns
+
 
 class Fold:
     def start(self) -> Any:
@@ -74,22 +76,23 @@ def chosen(df: DataFrame, fold: Fold, time: str) -> DataFrame:
 
 
 def folded(df: DataFrame, fold: Fold, result: T.StructType) -> DataFrame:
-    """One row for each value that the fold emits: the columns of its record, with those of ``result``."""
+    """One row for each value that the fold emits: the columns of its record, with those of ``result``.  The fold asks the record for what it needs; the rest stays in Arrow."""
     rows = df.withColumn("__hash", F.xxhash64("key"))
     new = [f for f in result.fields]
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in result.names), *new])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(f.dataType) for f in new]
+    kinds, names = [to_arrow_type(f.dataType) for f in new], df.columns
 
     def run(batches):
         key, state = None, None
         for b in batches:
             at, values = [], []
-            for i, record in enumerate(b.to_pylist()):
-                k = (record.pop("__hash"), record["key"])
-                if k != key:
-                    key, state = k, fold.start()
+            columns = Columns(b, names)
+            hashes, keys = b.column("__hash").to_pylist(), columns.values("key")
+            for i, record in enumerate(columns.records()):
+                if (hashes[i], keys[i]) != key:
+                    key, state = (hashes[i], keys[i]), fold.start()
                 state, out = fold.step(state, record)
                 at += [i] * len(out)
                 values += out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..flow import Flow, Operator
 from ..functions.columns import event_micros, from_micros
 from ..functions.durations import micros
-from ..plans.arrival import running_max
+from ..plans.arrival import reached, running_max
 from .folding import Sample, Throttle, chosen
 from .keyed import by_arrival
 
@@ -48,11 +48,10 @@ def debounce(interval: Duration, *, in_order: bool = False) -> Operator:
         rows = running_max(rows, F.col("__t"), "__high")
         rows = rows.withColumns({"__next": F.lead("offset").over(by_arrival()), "__reach": F.lead("__high").over(by_arrival())})
         plain = rows.where(F.col("__next").isNull() | ((F.col("__high") < F.col("__t") + gap) & (F.col("__reach") >= F.col("__t") + gap)))
-        # the maximum was already there: only a later record can tell
-        late = rows.where(F.col("__next").isNotNull() & (F.col("__high") >= F.col("__t") + gap))
-        seen = rows.select(F.col("offset").alias("__o"), F.col("__t").alias("__s"))
-        between = late.join(seen, (F.col("__o") > F.col("offset")) & (F.col("__o") <= F.col("__next")) & (F.col("__s") >= F.col("__t") + gap), "left_semi")
-        return flow.with_df(plain.unionByName(between).drop("__t", "__high", "__next", "__reach"))
+        # the maximum was already there: only what lies between can tell
+        rows = rows.withColumn("__asks", F.when(F.col("__next").isNotNull() & (F.col("__high") >= F.col("__t") + gap), F.col("__next"))).withColumn("__least", F.col("__t") + gap)
+        between = reached(rows, "__t", "__asks", "__least")
+        return flow.with_df(plain.unionByName(between.select(*plain.columns)).drop("__t", "__high", "__next", "__reach"))
 
     return run
 

@@ -7,10 +7,11 @@ Arrow batches under an error policy (``fail_job``, ``skip`` or ``retry``; the la
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..errors import called, dead_letters, guarded
+from ..errors import called, dead_letters, guarded, marked
 from ..flow import Flow, Operator
 from ..functions.columns import event_micros
 from ..plans.arrival import ranked
@@ -104,11 +105,12 @@ def validate(condition: Column | str | Callable[[dict], bool], *, on_invalid: st
             df = called(df, lambda r: bool(condition(r)), T.BooleanType(), retries=0)
             if on_invalid != "fail_job":
                 df = df.persist()
+                flow = flow.holding(df)
             good, error = F.col("__call.ok") & F.col("__call.value"), F.coalesce(F.col("__call.error"), F.lit("invalid"))
         else:
             good, error = F.coalesce(_column(condition), F.lit(False)), F.lit("invalid")
         if on_invalid == "fail_job":
-            return flow.with_df(df.where(good | F.raise_error(F.concat(F.lit("validate: "), error)).cast("boolean")).drop("__call"))
+            return flow.with_df(df.where(good | F.raise_error(marked("validate", error)).cast("boolean")).drop("__call"))
         return flow.with_df(df.where(good).drop("__call")).emit("dlq", dead_letters(df.where(~good), "validate", error).drop("__call"))
 
     return run
@@ -161,18 +163,18 @@ def merge(*flows: Flow | DataFrame) -> Flow:
     numbered = ranked(union, "__rank", ("__t", "__source", "offset"), by=F.col("__t"))
     out = Flow(numbered.withColumn("offset", F.col("__rank")).drop("__rank", "__source", "__t"))
     for f in flows:
+        if isinstance(f, Flow):
+            out = replace(out, held=out.held + f.held, pending=out.pending + f.pending)
         for name, df in (f.side if isinstance(f, Flow) else {}).items():
             out = out.emit(name, df)
     return out
 
 
 def fan_out(*sinks: Callable[[DataFrame], object]) -> Operator:
-    """Give the records to further sinks and pass them on; they are computed once."""
+    """Give the records to further sinks and pass them on.  They are written when the flow runs (in a job, or when it is collected), not when it is composed, and are computed once."""
 
     def run(flow: Flow) -> Flow:
         shared = flow.share()
-        for sink in sinks:
-            (sink.write if hasattr(sink, "write") else sink)(shared.df)
-        return shared
+        return replace(shared, pending=shared.pending + tuple((sink, shared.df) for sink in sinks))
 
     return run

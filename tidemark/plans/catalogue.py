@@ -5,13 +5,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import operators as op
+from .. import operators as op, sources
 from ..flow import Flow
 from ..schema import load_events
+from ..sinks import ProtectedSink, RowSink, TableSink
+from ..streaming import Job
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,6 +332,169 @@ def error_rate_pipeline(spark, sf_dir):
     return flow.df.select("key", F.col("end").cast("timestamp_ntz").alias("window_end"), "errors")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A folder of this query's own: beside the checkpoints, or (tests) on this machine."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/tidemark-{uuid.uuid4().hex}"
+
+
+def _first(spark, sf_dir, n: int) -> DataFrame:
+    """Some events, as plain columns."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where(f"event_id < {n}").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+@query(f"SELECT event_id AS line, CASE WHEN event_id % 3 <> 1 THEN event_id END AS event_id, CASE WHEN event_id % 3 <> 1 THEN cents END AS cents FROM ({EVENTS}) WHERE event_id >= 5 AND event_id % 3 <> 2")
+def file_source(spark, sf_dir):
+    """Lines of a file, from the sixth on: two of three are kept, of which every other isn't JSON; the third is blank and yet takes an index."""
+    to, rows = _folder(spark), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    text = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id", "cents"))).when(F.col("event_id") % 3 == 1, "{broken").otherwise("")
+    rows.coalesce(1).sortWithinPartitions("event_id").select(text.alias("value")).write.text(to)
+    source = sources.FileSource(to)
+    source.seek(None, 5)
+    return sources.from_source(spark, source, "event_id bigint, cents bigint").df.select(F.col("offset").alias("line"), "payload.event_id", "payload.cents")
+
+
+@query("SELECT \"offset\", partition, n FROM (SELECT range // 3 AS \"offset\", (range % 3)::VARCHAR AS partition, range AS n FROM range(300)) WHERE \"offset\" >= CASE partition WHEN '0' THEN 90 WHEN '1' THEN 41 ELSE 0 END")
+def log_consumer(spark, sf_dir):
+    """A log of three partitions: one is read from a given offset, one from after what was committed, one whole."""
+    with tempfile.TemporaryDirectory(prefix="tidemark-log-") as at:
+        log = sources.PartitionedLog(at, 3)
+        for n in range(300):
+            log.append({"n": n}, partition=n % 3)
+        consumer = log.consumer()
+        consumer.seek(0, 90)
+        consumer.commit(1, 40)
+        rows = consumer.read(spark, "n bigint").select("offset", "partition", "n").collect()
+    return spark.createDataFrame(rows, "offset bigint, partition string, n bigint")
+
+
+@query("SELECT unnest(range(4, 10)) AS n, 'drop_oldest' AS policy UNION ALL SELECT unnest(range(0, 6)), 'sample'")
+def queue_policies(spark, sf_dir):
+    """Ten records into a queue of six, by policy."""
+    out = None
+    for policy in ("drop_oldest", "sample"):
+        queue = sources.QueueSource(6, policy)
+        for n in range(10):
+            queue.push({"n": n})
+        got = queue.drain(spark, schema="n bigint").select("payload.n", F.lit(policy).alias("policy"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"SELECT event_id, cents, 'main' AS place FROM ({EVENTS}) WHERE cents < 20000 UNION ALL SELECT event_id, cents, 'dlq' FROM ({EVENTS}) WHERE NOT cents < 20000")
+def job_tables(spark, sf_dir):
+    """A job that writes valid records to one table and dead letters to another."""
+    to = _folder(spark)
+    Job([TableSink(f"{to}/main")], dlq=TableSink(f"{to}/dlq")).run(events(spark, sf_dir).pipe(op.validate("cents < 20000")))
+    return spark.read.parquet(f"{to}/main").select("event_id", "cents", F.lit("main").alias("place")).unionByName(spark.read.parquet(f"{to}/dlq").select("event_id", "cents", F.lit("dlq").alias("place")))
+
+
+@query(f"SELECT event_id, 'sink' AS stage, 'OSError: down' AS error FROM ({EVENTS}) WHERE event_id < 5 UNION ALL SELECT event_id, 'sink', 'circuit_open' FROM ({EVENTS}) WHERE event_id BETWEEN 5 AND 49")
+def protected_sink(spark, sf_dir):
+    """Fifty records to a sink that is down: five fail, each once whatever the retries, and the breaker keeps the others off; all are dead letters."""
+
+    class Down(RowSink):
+        def write_row(self, row):
+            raise OSError("down")
+
+    to = _folder(spark)
+    Job([ProtectedSink(Down(), dead=TableSink(to))]).run(events(spark, sf_dir).pipe(op.filter_op("event_id < 50")))
+    return spark.read.parquet(to).select("event_id", F.col("headers")["dlq_stage"].alias("stage"), F.col("headers")["dlq_error"].alias("error"))
+
+
+def _resumed(spark, sf_dir, delivery: str) -> DataFrame:
+    to = _folder(spark)
+    with tempfile.TemporaryDirectory(prefix="tidemark-log-") as at:
+        log, rows = sources.PartitionedLog(at), _first(spark, sf_dir, 200).orderBy("event_id").collect()
+        for part in (rows[:120], [], rows[120:]):
+            for r in part:
+                log.append({"event_id": r.event_id, "cents": r.cents}, key=str(r.user_id % 3))
+            job = Job([TableSink(f"{to}/out")], delivery=delivery, checkpoint_dir=f"{to}/state", keep=("total",))
+            scan = op.scan_op(lambda s, r: s + r["cents"], 0, "total", "bigint", states=job.states(spark, "total"))
+            job.run_source(spark, log.consumer(), scan, schema="event_id bigint, cents bigint")
+    return spark.read.parquet(f"{to}/out").select("event_id", "key", "total")
+
+
+RESUMED = f"SELECT event_id, (user_id % 3)::VARCHAR AS key, sum(cents) OVER (PARTITION BY user_id % 3 ORDER BY event_id)::BIGINT AS total FROM ({EVENTS}) WHERE event_id < 200"
+
+
+@query(RESUMED)
+def effectively_once_restart(spark, sf_dir):
+    """Three runs of one job, the second with nothing new: running totals go on, and no record is written twice."""
+    return _resumed(spark, sf_dir, "effectively_once")
+
+
+@query(RESUMED)
+def at_least_once_restart(spark, sf_dir):
+    return _resumed(spark, sf_dir, "at_least_once")
+
+
+@query(RESUMED)
+def at_most_once_restart(spark, sf_dir):
+    return _resumed(spark, sf_dir, "at_most_once")
+
+
+@query(f"SELECT event_id, event_type, cents FROM ({EVENTS}) WHERE event_type = 'error' UNION ALL SELECT event_id, event_type, cents FROM ({EVENTS}) WHERE event_type = 'error' AND cents > 1000")
+def fan_out(spark, sf_dir):
+    """Records to a sink within the flow, and on to the job's."""
+    to = _folder(spark)
+    Job([TableSink(f"{to}/end")]).run(events(spark, sf_dir).pipe(op.filter_op("event_type = 'error'"), op.fan_out(TableSink(f"{to}/middle")), op.filter_op("cents > 1000")))
+    return spark.read.parquet(f"{to}/middle").select("event_id", "event_type", "cents").unionByName(spark.read.parquet(f"{to}/end").select("event_id", "event_type", "cents"))
+
+
+@query(f"SELECT event_id, sum(cents) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT + 100 AS total FROM ({EVENTS}) WHERE cents % 3 <> 0")
+def scan_skip(spark, sf_dir):
+    """A fold with a seed that leaves its state alone where it fails."""
+
+    def step(state, record):
+        if record["cents"] % 3 == 0:
+            raise ValueError("a third")
+        return state + record["cents"]
+
+    return events(spark, sf_dir).pipe(op.scan_op(step, 100, "total", "bigint", on_error="skip")).df.select("event_id", "total")
+
+
+@query(f"SELECT event_id, 100 + sum(cents) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS total FROM ({EVENTS})")
+def scan_seeded_sum(spark, sf_dir):
+    return events(spark, sf_dir).pipe(op.scan_op(F.sum("cents"), 100, "total", combine=lambda seed, x: seed + x)).df.select("event_id", "total")
+
+
+@query("""SELECT p.event_id AS left_id, e.event_id AS right_id, greatest(p.ts, e.ts) AS event_time, CASE WHEN e.ts >= p.ts THEN e.event_id ELSE p.event_id END AS "offset"
+          FROM events p JOIN events e ON p.user_id = e.user_id AND p.event_type = 'purchase' AND e.event_type = 'error' AND e.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts + INTERVAL 6 HOUR""")
+def join_stream_envelope(spark, sf_dir):
+    """Each pair has time and offset of the record that came later."""
+    e = events(spark, sf_dir)
+    df = e.pipe(op.filter_op("event_type = 'purchase'"), op.join_stream(e.pipe(op.filter_op("event_type = 'error'")), "6h")).df
+    return df.select(F.col("event_id").alias("left_id"), F.col("right.event_id").alias("right_id"), naive("event_time"), "offset")
+
+
+@query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
+def join_table_repeated(spark, sf_dir):
+    """A table that holds each key twice gives one match all the same."""
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), "c_name")
+    return events(spark, sf_dir).pipe(op.join_table(table.unionAll(table))).df.select("event_id", "right.c_name")
+
+
+@query(f"""SELECT event_id, lag(cents, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS latest FROM ({EVENTS})""")
+def upsert_table(spark, sf_dir):
+    """Each record finds itself as its key's latest row."""
+    return events(spark, sf_dir).pipe(op.upsert_table(state_id="t"), op.join_table_state("t")).df.select("event_id", F.col("right.cents").alias("latest"))
+
+
+@query("SELECT event_id, event_id AS \"offset\" FROM events WHERE event_id % 50 <> 0 UNION ALL SELECT event_id, event_id FROM events WHERE event_id % 50 = 0")
+def share(spark, sf_dir):
+    """Two readers of one shared flow."""
+    kept = events(spark, sf_dir).share()
+    return kept.pipe(op.filter_op("event_id % 50 <> 0")).df.select("event_id", "offset").unionByName(kept.pipe(op.filter_op("event_id % 50 = 0")).df.select("event_id", "offset"))
+
+
+@query("""SELECT user_id AS key, time_bucket(INTERVAL 1 HOUR, CASE WHEN event_id % 10 = 0 THEN TIMESTAMP '2030-01-01' ELSE ts END, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL""")
+def missing_event_time(spark, sf_dir):
+    """Records without a time of their own take the clock's."""
+    flow = events(spark, sf_dir).pipe(op.map_op({"event_time": F.when(F.col("event_id") % 10 != 0, F.col("event_time"))}))
+    df = flow.pipe(op.tumbling_window("1h", {"n": F.count("*")}, clock=datetime(2030, 1, 1, tzinfo=timezone.utc))).df
+    return df.select("key", naive("start"), "n")
+
+
 @query(f"""WITH RECURSIVE valid AS (SELECT * FROM ({MARKED}) WHERE event_type = 'purchase' AND cents > 0 AND ts >= wm),
           fresh AS (SELECT * FROM (SELECT *, lag(cents) OVER (PARTITION BY user_id ORDER BY o) AS b, row_number() OVER (PARTITION BY user_id ORDER BY o) AS k FROM valid) WHERE k = 1 OR cents IS DISTINCT FROM b),
           panes AS (SELECT user_id AS key, s AS start, count(*) AS n, sum(cents)::BIGINT AS cents FROM (

@@ -12,7 +12,7 @@ from .queues import FullQueue, QueueSource
 class WebhookSource(QueueSource):
     """POST JSON to ``url``: a list is as many records as it has elements, no body is one null record.
 
-    Answers: 202 taken, 400 not JSON, 404 another path, 503 no room in time.
+    Answers: 202 taken, 400 not JSON, 404 another path (slashes at the ends and parameters aside), 503 no room in time.
     """
 
     def __init__(self, host: str = "127.0.0.1", port: int = 0, path: str = "/events", *, push_timeout: float = 5.0, **queue):
@@ -21,7 +21,7 @@ class WebhookSource(QueueSource):
 
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self):  # noqa: N802
-                if self.path != path:
+                if self.path.split("?")[0].strip("/") != path.strip("/"):
                     return self.answer(404)
                 body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
                 try:

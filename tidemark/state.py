@@ -1,11 +1,13 @@
-"""Small driver-side state: values by namespace and key, and a checkpoint file that is replaced whole."""
+"""Small driver-side state (values by namespace and key), and a checkpoint file that is replaced whole."""
 
 from __future__ import annotations
 
-import os
 import pickle
 from collections.abc import Iterator
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from .storage import read_bytes, write_bytes
 
 
 class KeyValueStore:
@@ -37,20 +39,16 @@ class KeyValueStore:
         self._spaces.clear()
 
 
-def save_checkpoint(folder: str, store: KeyValueStore, offsets: dict) -> None:
-    """State and offsets together, or neither."""
-    to = Path(folder) / "state.bin"
-    to.parent.mkdir(parents=True, exist_ok=True)
-    new = to.with_suffix(".new")
-    new.write_bytes(pickle.dumps((store.dump(), dict(offsets))))
-    os.replace(new, to)
+def save_checkpoint(spark: SparkSession, folder: str, store: KeyValueStore, offsets: dict, tables: dict[str, str] | None = None) -> None:
+    """State, offsets and the places of state tables together, or none of them."""
+    write_bytes(spark, f"{folder}/state.bin", pickle.dumps({"spaces": store.dump(), "offsets": dict(offsets), "tables": dict(tables or {})}))
 
 
-def load_checkpoint(folder: str) -> tuple[KeyValueStore, dict]:
+def load_checkpoint(spark: SparkSession, folder: str) -> tuple[KeyValueStore, dict, dict[str, str]]:
     """What was saved; empty if nothing was."""
-    store, at = KeyValueStore(), Path(folder) / "state.bin"
-    if not at.exists():
-        return store, {}
-    spaces, offsets = pickle.loads(at.read_bytes())
-    store.load(spaces)
-    return store, offsets
+    store, held = KeyValueStore(), read_bytes(spark, f"{folder}/state.bin")
+    if held is None:
+        return store, {}, {}
+    found = pickle.loads(held)
+    store.load(found["spaces"])
+    return store, found["offsets"], found["tables"]
