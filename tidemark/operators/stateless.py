@@ -49,7 +49,7 @@ def map_payload(columns: Expressions | Callable[[dict], dict], schema: str | T.S
     def run(flow: Flow) -> Flow:
         engine = [c for c in ENGINE if c in flow.df.columns]
         use = lambda df: df.select(*engine, *(F.col(f"__call.value.{f.name}").alias(f.name) for f in fields))
-        payload = lambda r: columns({k: v for k, v in r.items() if k not in ENGINE})
+        payload = lambda r: columns({k: r[k] for k in r if k not in ENGINE})
         return guarded(flow, "map_op", called(flow.df, payload, fields, retries=retries), use, on_error)
 
     return run
