@@ -152,3 +152,20 @@ def test_repeated_captures_and_wild_times(spark):
     hot = spark.range(2000).selectExpr("'u' as canon", "if(id = 0, 1000000000000, id) as ts", "named_struct('ts', if(id = 0, 1000000000000, id), 'record_id', id) as resp")
     found = {r.ts: r.found for r in revisits.latest_earlier(hot).collect()}
     assert found[1] is None and all(found[t].ts == t - 1 for t in range(2, 2000)) and found[10**12].ts == 1999
+
+
+def test_pipeline_stages_carry_columns(spark, sf_dir, docs):
+    import corpus_pipeline
+
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    if n_of(docs):
+        assert ids[-3] == 1 and ids[1] == ids[2] == 0 and ids[6] == 1 and max(v for k, v in ids.items() if k is not None) == 1
+    else:
+        assert not ids
+    good = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert good.columns == docs.columns and good.count() <= n_of(docs)
+    assert corpus_pipeline.packed(spark, docs, sf_dir).where("start = 0").count() == n_of(docs)
