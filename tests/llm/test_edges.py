@@ -46,6 +46,16 @@ def test_spans(docs):
             assert {r["row"] for r in rows} == {"own row"} and {r["bad"] for r in rows} == {"own bad"}
 
 
+def test_spans_of_rows_that_repeat(spark):
+    other = "Another text altogether, with quite enough words in it to make a span. It has a second sentence, too."
+    passage = "One morning the old clerk walked down to the harbour. He gave nine letters to nine captains, and no one asked him why."
+    rows = [(5, passage)] * 3 + [(None, other)] * 2 + [(7, other.upper()), (7, "Nothing of this is anywhere else. Nor is that.")]
+    got = Counter((r.row.doc_id, r.row.text == r.text, r.text.strip() == "") for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got[5, True, False] == 1 and got[5, False, True] == 2
+    whole = [k for k, n in got.items() for _ in range(n) if k[1] and k[0] != 5]
+    assert len(whole) == 2 and (7, True, False) in whole  # one of the three of the other text, and the text that is alone
+
+
 def test_classes(docs):
     got = {r.id: r.class_id for r in dartminhash.classes(docs).collect()}
     kept = dartminhash.keep_first(docs)

@@ -10,8 +10,8 @@ covers is removed, with the blanks behind it but not the line feed.
 Hashes are counted with partial aggregation and joined back, so a span that a third of all documents hold is a
 join that can be split, not a group in one task; no list longer than one document's own spans is gathered.
 
-Documents are known by doc_id (rows that share one are one document, so their common spans stay in each; a null id gives the
-text's own key).  Null texts become empty; texts with fewer sentences or words than a span, and texts without a repeat,
+Documents are known by doc_id; a null id gives the text's own key, and rows that share an id but not their text are documents of their own (see ``dartminhash.nodes``).
+Of rows that agree in id and text, which are interchangeable, one counts as first, and the others lose every span.  Null texts become empty; texts with fewer sentences or words than a span, and texts without a repeat,
 come back byte for byte.  An empty table gives an empty result; ``remove`` carries all other columns.
 """
 
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_of
-from .dartminhash import node
+from .common import cut
+from .dartminhash import nodes
 from .textscan import FIRST, LOWER, SECOND, SPACE, Scan, mix, scans
 
 MIN_SENTENCES, MIN_WORDS, LONG, REACH = 2, 16, 16, 4
@@ -109,17 +109,16 @@ def occurrences(batches):
             yield pa.RecordBatch.from_arrays([pa.array(s.h1[new].view(np.int64)), pa.array(s.h2[new].view(np.int64)), ids.take(at)], names=["h1", "h2", "id"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(id, bad): for each document the hashes of its spans of which another document holds the first."""
-    keyed = docs.select(node().alias("id"), text_of().alias("text"))
-    spans = keyed.mapInArrow(occurrences, "h1 long, h2 long, id long")
+def repeated(keyed: DataFrame) -> DataFrame:
+    """(id, bad): for each document (id, text) the hashes of its spans of which another document holds the first."""
+    spans = keyed.select("id", "text").mapInArrow(occurrences, "h1 long, h2 long, id long")
     shared = spans.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("most > owner").select("h1", "h2", "owner")
     return spans.join(shared, ["h1", "h2"]).where("id != owner").groupBy("id").agg(F.collect_set("h1").alias("bad"))
 
 
 def rewrite(batches):
     for b in batches:
-        rows, bad = b.column("row"), b.column("bad")
+        rows, bad, again = b.column("row"), b.column("bad"), b.column("again").to_numpy(zero_copy_only=False)
         flat, offs = bad.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), None
         sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(bad).to_pylist()], np.int64)
         offs = np.concatenate([[0], np.cumsum(sizes)])
@@ -132,6 +131,7 @@ def rewrite(batches):
                 owner = np.repeat(np.arange(scan.n), sizes[scan.first : scan.first + scan.n]).astype(np.uint64)
                 mine = mix(s.h1 ^ mix(s.doc[s.run_from].astype(np.uint64) + np.uint64(5)))
                 out |= np.isin(mine, mix(flat[low:high] ^ mix(owner + np.uint64(5))))
+            out |= again[s.doc[s.run_from] + scan.first]
             gone = s.covered(out)
             keep = s.kept_bytes(gone) if gone.any() else np.ones(len(scan.data), bool)
             off = np.concatenate([[0], np.cumsum(scan.count(keep))]).astype(np.int64)
@@ -143,9 +143,18 @@ def rewrite(batches):
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(row, text, n_sentences, n_removed): ``row`` holds the columns of docs, ``text`` what remains of the text."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), node().alias("id"), text_of().alias("text")).join(repeated(docs), "id", "left")
+    rows = nodes(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text"), "__row").select(F.col("__row").alias("row"), F.col("__node").alias("id"), F.col("__words").alias("text"))
+    copies = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if copies.isEmpty():
+        keyed = rows.withColumn("again", F.lit(False))
+    else:  # rows that agree in id and text: stored with a number each, so that one of them is first
+        several = cut(rows.join(copies, "id", "left_semi").withColumn("__number", F.monotonically_increasing_id()))
+        first = cut(several.groupBy("id").agg(F.min("__number").alias("__first")))
+        several = several.join(first, "id").withColumn("again", F.col("__number") != F.col("__first"))
+        keyed = rows.join(copies, "id", "left_anti").withColumn("again", F.lit(False)).unionByName(several.drop("__number", "__first"))
+    marked = keyed.join(repeated(rows), "id", "left")
     schema = T.StructType([T.StructField("row", marked.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return marked.select("row", "text", "bad").mapInArrow(rewrite, schema)
+    return marked.select("row", "text", "bad", "again").mapInArrow(rewrite, schema)
 
 
 def remove(docs: DataFrame) -> DataFrame:
