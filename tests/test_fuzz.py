@@ -78,7 +78,7 @@ def sessions(rows, gap, bound):
 
 @pytest.mark.parametrize("disorder", [False, True])
 def test_rate_and_session_folds(records, disorder):
-    for rows in streams(7, disorder)[:12]:
+    for rows in streams(7, disorder)[:6]:
         flow = flow_of(records, rows)
         flow = flow.with_df(flow.df.coalesce(1))
         ids = lambda f: sorted(int(r.v) for r in f.df.collect())

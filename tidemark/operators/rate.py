@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..flow import Flow, Operator
 from ..functions.columns import event_micros, from_micros
 from ..functions.durations import micros
-from ..plans.arrival import reached, running_max
+from ..plans.arrival import cuts, reached, running_max
 from .folding import Sample, Throttle, chosen
 from .keyed import by_arrival
 
@@ -45,12 +45,13 @@ def debounce(interval: Duration, *, in_order: bool = False) -> Operator:
         if in_order:
             nxt = F.lead("__t").over(by_arrival())
             return flow.with_df(rows.withColumn("__next", nxt).where(F.col("__next").isNull() | (F.col("__next") - F.col("__t") >= gap)).drop("__t", "__next"))
-        rows = running_max(rows, F.col("__t"), "__high")
+        base, bounds = rows, cuts(rows, F.col("offset"))
+        rows = running_max(rows, F.col("__t"), "__high", bounds=bounds)
         rows = rows.withColumns({"__next": F.lead("offset").over(by_arrival()), "__reach": F.lead("__high").over(by_arrival())})
         plain = rows.where(F.col("__next").isNull() | ((F.col("__high") < F.col("__t") + gap) & (F.col("__reach") >= F.col("__t") + gap)))
         # the maximum was already there: only what lies between can tell
         rows = rows.withColumn("__asks", F.when(F.col("__next").isNotNull() & (F.col("__high") >= F.col("__t") + gap), F.col("__next"))).withColumn("__least", F.col("__t") + gap)
-        between = reached(rows, "__t", "__asks", "__least")
+        between = reached(rows, "__t", "__asks", "__least", bounds=bounds, plain=base)
         return flow.with_df(plain.unionByName(between.select(*plain.columns)).drop("__t", "__high", "__next", "__reach"))
 
     return run

@@ -16,12 +16,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SLICES = 1 << 12
 
 
-def sliced(df: DataFrame, by: Column) -> DataFrame:
-    """df plus ``__slice``, which follows ``by`` (a whole number that orders the rows; nulls come first)."""
+def cuts(df: DataFrame, by: Column) -> list[int]:
+    """Where slices of about sqrt(n) rows begin, in order."""
     order = df.select(by.cast("double").alias("x"))
     wanted = max(1, min(SLICES, math.isqrt(order.count())))
     bounds = order.approxQuantile("x", [k / wanted for k in range(1, wanted)], 1 / (4 * wanted)) if wanted > 1 else []
-    return df.withColumn("__slice", F.when(by.isNull(), F.lit(-1)).otherwise(below(by, sorted({int(b) for b in bounds}))).cast("long"))
+    return sorted({int(b) for b in bounds})
+
+
+def sliced(df: DataFrame, by: Column, bounds: list[int] | None = None) -> DataFrame:
+    """df plus ``__slice``, which follows ``by`` (a whole number that orders the rows; nulls come first)."""
+    bounds = cuts(df, by) if bounds is None else bounds
+    return df.withColumn("__slice", F.when(by.isNull(), F.lit(-1)).otherwise(below(by, bounds)).cast("long"))
 
 
 def below(value: Column, bounds: list[int]) -> Column:
@@ -33,9 +39,9 @@ def below(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) < value), at + step).otherwise(at))
 
 
-def running_max(df: DataFrame, value: Column, name: str, order: tuple[str, ...] = ("offset",)) -> DataFrame:
+def running_max(df: DataFrame, value: Column, name: str, order: tuple[str, ...] = ("offset",), bounds: list[int] | None = None) -> DataFrame:
     """df plus ``name``: the greatest value so far in arrival order, the row's own included."""
-    rows = sliced(df, F.col(order[0])).withColumn("__value", value)
+    rows = sliced(df, F.col(order[0]), bounds).withColumn("__value", value)
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy("__slice").agg(F.max("__value").alias("m")).select("__slice", F.max("m").over(before).alias("__carried"))
     so_far = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,18 +77,18 @@ class Maxima:
         return out
 
 
-def reached(rows: DataFrame, value: str, upto: str, least: str) -> DataFrame:
+def reached(rows: DataFrame, value: str, upto: str, least: str, *, bounds: list[int], plain: DataFrame) -> DataFrame:
     """The rows (with ``offset``) for which a row after them, up to the offset ``upto``, has a ``value`` of at least ``least``; rows without ``upto`` don't count.
 
     Where both ends lie in one slice, that slice's task looks up the range's maximum.  Else it is made of the rest of the first slice, the start of the last, and the whole
-    slices between, whose maxima (``SLICES`` numbers at most) go to every task.
+    slices between, whose maxima (``SLICES`` numbers at most) go to every task.  ``plain`` holds the same offsets and values, at less cost; ``bounds`` cut them.
     """
-    stored = sliced(rows, F.col("offset"))
+    stored = sliced(rows, F.col("offset"), bounds)
     within = Window.partitionBy("__slice").orderBy("offset")
     ends = stored.select(F.col("offset").alias("__upto"), F.col("__slice").alias("__end"), F.max(value).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__head"))
     tails = stored.withColumn("__tail", F.max(value).over(within.rowsBetween(1, Window.unboundedFollowing)))
     asked = tails.join(ends, F.col(upto) == F.col("__upto"), "left")
-    found = stored.groupBy("__slice").agg(F.max(value).alias("m")).orderBy("__slice").collect()
+    found = sliced(plain, F.col("offset"), bounds).groupBy("__slice").agg(F.max(value).alias("m")).orderBy("__slice").collect()
     numbers, maxima = np.array([r["__slice"] for r in found], np.int64), np.array([np.nan if r["m"] is None else r["m"] for r in found], float)
     schema = rows.schema
     number = lambda b, c: np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
