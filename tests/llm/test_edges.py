@@ -1,11 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns: each operator's defined results."""
 
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloomlm, cascade, chat, dartminhash, decontam, knn, packing, revisits, ring, spans
+from tidemark.llm.common import RELEASE, cut
 
 FRAMES = ["nasty", "clashing", "nothing"]
 
@@ -179,3 +181,25 @@ def test_pipeline_stages_carry_columns(spark, sf_dir, docs):
     good = corpus_pipeline.quality(spark, docs, sf_dir)
     assert good.columns == docs.columns and good.count() <= n_of(docs)
     assert corpus_pipeline.packed(spark, docs, sf_dir).where("start = 0").count() == n_of(docs)
+
+
+def test_what_a_cut_shuffled_is_released(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = blocks.getAllFiles()
+        return {str(f) for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, setting = held(), spark.conf.get(RELEASE)
+    rows = spark.range(2000).selectExpr("id", "id % 7 as k")
+    sums = rows.groupBy("k").agg(F.sum("id").alias("s"))
+    done = cut(rows.repartition(5, "id").join(sums, "k").select("id", F.col("s"), F.col("s").alias("s2")))
+    end = time.time() + 20
+    while held() - before and time.time() < end:  # the files go in the background
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get(RELEASE) == setting  # for all other queries
+    expected = {k: sum(range(k, 2000, 7)) for k in range(7)}
+    for _ in range(2):
+        assert {r.id: (r.s, r.s2) for r in done.collect()} == {i: (expected[i % 7],) * 2 for i in range(2000)}
+    assert {r.k: r.s for r in sums.collect()} == expected

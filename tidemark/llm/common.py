@@ -7,12 +7,25 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+
+    Its shuffle files go as soon as it is written, not when the driver next collects garbage: nothing reads them again.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        own = df.select("*")  # a query of its own, since it is a query's making that reads the setting
+    finally:
+        spark.conf.set(RELEASE, before)
+    return own.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
